@@ -14,17 +14,28 @@ def number(text: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with `value` worked out once, however often `use` mentions it.
+
+    The one element of an array is bound to a lambda variable. Worth it for parsing calls, which
+    the optimiser would repeat at every mention inside one expression.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def last_wins(pairs: Column) -> Column:
     """Map in which a repeated key keeps its last value, whatever the session's policy is."""
-    entries = F.map_entries(pairs)
 
-    def later_has(entry, i):
-        tail = F.slice(entries, i + 2, F.size(entries))
-        return F.exists(tail, lambda other: other["key"] == entry["key"])
+    def clean(entries):
+        def is_last(entry, i):
+            tail = F.slice(entries, i + 2, F.size(entries))
+            return ~F.exists(tail, lambda other: other["key"] == entry["key"])
+
+        return F.map_from_entries(F.filter(entries, is_last))
 
-    clean = F.map_from_entries(F.filter(entries, lambda e, i: ~later_has(e, i)))
     keys = F.map_keys(pairs)
-    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), clean).otherwise(pairs)
+    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.when(repeated, clean(F.map_entries(pairs))).otherwise(pairs)
 
 
 def overlay(base: Column, top: Column) -> Column:

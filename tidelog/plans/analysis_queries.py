@@ -165,8 +165,8 @@ def g2_g3_changes(spark, sf_dir):
     )
 
 
-NARROW = TimeRange.of("2024-01-05T00:00:00Z", "2024-01-05T08:00:00Z")
-NARROW_SQL = "ts between timestamp '2024-01-05' and timestamp '2024-01-05 08:00:00'"
+NARROW = TimeRange.of("2024-01-05T00:00:00Z", "2024-01-05T01:00:00Z")
+NARROW_SQL = "ts between timestamp '2024-01-05' and timestamp '2024-01-05 01:00:00'"
 
 
 def g4_new_messages(spark, sf_dir):

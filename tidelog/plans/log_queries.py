@@ -250,8 +250,8 @@ QUERIES = {
         rows(lambda df: pred.filter_logs(df, "error", "svc1", custom_fields={"event_type": "error", "k": 7})),
         rows_sql("level = 'ERROR' and service = 'svc1' and event_type = 'error' and k = 7")),
     "b2_filter_logs_trace": (
-        rows(lambda df: pred.filter_logs(df, host="host3", trace_id="trace-17", tr=None)),
-        rows_sql("host = 'host3' and trace_id = 'trace-17'")),
+        rows(lambda df: pred.filter_logs(df, trace_id="trace-17")),
+        rows_sql("trace_id = 'trace-17'")),
     "b3_in_time_range": (rows(lambda df: pred.in_time_range(df, RECENT)), rows_sql(RECENT_SQL)),
     "b4_line_contains": (rows(lambda df: pred.line_contains(df, "refused code 1")), rows_sql(
         "contains(message, 'refused code 1')")),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.values import last_wins
+from ..functions.values import bind, last_wins
 from ..schema import SEARCH_SEPARATOR
 
 # JSON values that count as absent for ids and names.
@@ -23,8 +23,11 @@ def json_object(text: Column) -> Column:
     The text is read as the only element of an array, which refuses whatever follows the object.
     """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.from_json(wrapped, "array<map<string,variant>>", JSON_OPTIONS)
-    return F.when(text.rlike(r"\}\s*$") & (F.size(parsed) == 1), parsed[0])
+    parsed = F.when(
+        F.rtrim(text).endswith("}"),
+        F.from_json(wrapped, "array<map<string,variant>>", JSON_OPTIONS),
+    )
+    return bind(parsed, lambda found: F.when(F.size(found) == 1, found[0]))
 
 
 def is_json(text: Column) -> Column:
@@ -36,16 +39,20 @@ def is_json(text: Column) -> Column:
 
 def document(variants: Column) -> Column:
     """Non-null keys of a `map<string,variant>` with their text."""
-    present = F.map_filter(
-        last_wins(variants), lambda _, v: v.isNotNull() & ~F.is_variant_null(v)
-    )
-    return F.transform_values(
-        present,
-        lambda _, v: F.struct(
-            v.cast("string").alias("text"),
-            (F.schema_of_variant(v) == "STRING").alias("is_text"),
-        ),
-    )
+
+    def described(found):
+        present = F.map_filter(
+            last_wins(found), lambda _, v: v.isNotNull() & ~F.is_variant_null(v)
+        )
+        return F.transform_values(
+            present,
+            lambda _, v: F.struct(
+                v.cast("string").alias("text"),
+                (F.schema_of_variant(v) == "STRING").alias("is_text"),
+            ),
+        )
+
+    return bind(variants, described)
 
 
 def text_document(pairs: Column) -> Column:

@@ -19,8 +19,6 @@ MESSAGE_KEYS = ("message", "msg", "log", "text", "body")
 TRACE_KEYS = ("trace_id", "traceId")
 SPAN_KEYS = ("span_id", "spanId")
 
-_MARK = "\u0001"
-
 
 @dataclass(frozen=True)
 class LineOptions:
@@ -115,28 +113,15 @@ def compile_pattern(pattern: str) -> tuple[str, dict[str, int]]:
 def regex_document(value: Column, pattern: str) -> Column:
     """Document of the named groups if the regex matches at the start of the line, else null.
 
-    One replacement writes all groups behind a mark and a split reads them back, so the regex
-    runs once per line; lines that contain the mark themselves are matched group by group.
+    A group that took no part in the match, or matched nothing, counts as an absent key.
     """
     java, names = compile_pattern(pattern)
     whole = f"^(?:{java})"
-    order = sorted(names.items(), key=lambda item: item[1])
-    written = "".join(f"{_MARK}${i}" for _, i in order)
-    replaced = F.regexp_replace(value, F.lit(whole + "(?s:.*)"), F.lit(written or _MARK))
-    parts = F.split(replaced, _MARK)
-
-    def as_map(texts):
-        pairs = [x for (name, _), text in zip(order, texts) for x in (F.lit(name), blank_to_null(text))]
-        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-
-    at_once = F.when(
-        replaced.startswith(_MARK), as_map([parts[i + 1] for i in range(len(order))])
-    )
-    one_by_one = F.when(
-        value.rlike(whole), as_map([F.regexp_extract(value, whole, i) for _, i in order])
-    )
-    groups = F.when(value.contains(_MARK), one_by_one).otherwise(at_once)
-    return docs.text_document(groups)
+    pairs = []
+    for name, number in names.items():
+        pairs += [F.lit(name), blank_to_null(F.regexp_extract(value, whole, number))]
+    groups = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.when(value.rlike(whole), docs.text_document(groups))
 
 
 def to_entry(df: DataFrame, opts: LineOptions = LineOptions()) -> DataFrame:
@@ -176,9 +161,18 @@ def to_entry(df: DataFrame, opts: LineOptions = LineOptions()) -> DataFrame:
     )
 
 
+def _with_document(lines: DataFrame, doc: Column) -> DataFrame:
+    """Lines that have a document, in the column `doc`.
+
+    Exploding an array of none or one keeps the parsing out of a filter, which would be pushed
+    below the projection and parse every line a second time.
+    """
+    return lines.select("*", F.explode(F.array_compact(F.array(doc))).alias("doc"))
+
+
 def parse_json_lines(lines: DataFrame, opts: LineOptions = LineOptions()) -> DataFrame:
     """Entries of the lines that are JSON objects."""
-    found = lines.withColumn("doc", json_document(F.col("value"))).where(F.col("doc").isNotNull())
+    found = _with_document(lines, json_document(F.col("value")))
     return to_entry(found.withColumn("is_json_line", F.lit(True)), opts)
 
 
@@ -186,8 +180,7 @@ def parse_regex_lines(
     lines: DataFrame, pattern: str, opts: LineOptions = LineOptions()
 ) -> DataFrame:
     """Entries of the lines that the named-group regex matches at their start."""
-    found = lines.withColumn("doc", regex_document(F.col("value"), pattern))
-    found = found.where(F.col("doc").isNotNull())
+    found = _with_document(lines, regex_document(F.col("value"), pattern))
     return to_entry(found.withColumn("is_json_line", F.lit(False)), opts)
 
 
