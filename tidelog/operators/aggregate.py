@@ -10,10 +10,14 @@ from ..functions.values import number
 from ..schema import COLUMNS, UNKNOWN
 from .ordering import top_n
 from .predicates import in_time_range, label
+from .reuse import never_null, whole_rows
 
 BUCKET = "timestamp_bucket"
 DEFAULT_WIDTH = "5m"
 
+# Stands for a facet that an entry lacks; such entries belong to no facet value.
+NO_FACET = "\u0000"
+
 # A top-k up to this many values may be broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -169,12 +173,15 @@ def facet_counts(
     """
     chosen = dict(_facet(n) for n in (facets or [BUCKET]))
     value = metric_value(func if field else "count", numeric_field(field) if field else None)
-    cells = logs.groupBy(*[c.alias(n) for n, c in chosen.items()]).agg(
+    keys = [never_null(c, NO_FACET).alias(n) for n, c in chosen.items()]
+    cells = logs.groupBy(*keys).agg(
         value.alias("value"), F.count("*").alias("count")
     )
-    kept = cells
+    cells = kept = whole_rows(cells)
     for name in chosen:
-        totals = cells.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("count").alias("n"))
+        totals = cells.groupBy(name).agg(F.sum("count").alias("n"))
+        # Mentions the total so that it is not pushed below it.
+        totals = totals.where(F.when(F.col("n") > 0, F.col(name) != NO_FACET))
         best = totals.orderBy(F.col("n").desc(), name).limit(limit).select(name)
         best = F.broadcast(best) if limit <= BROADCAST_ROWS else best
         kept = kept.join(best, name, "left_semi")

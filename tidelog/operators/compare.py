@@ -8,6 +8,7 @@ from ..functions.timeexpr import TimeRange
 from ..functions.values import percent_change, two_decimals
 from ..schema import UNKNOWN, is_alarm
 from .predicates import search
+from .reuse import whole_rows
 
 TOP = 5
 NAMED_IN_SUMMARY = 3
@@ -22,38 +23,38 @@ def period_counts(
 ) -> DataFrame:
     """Rows in each period per message, per service and in total: kind, key, baseline, comparison.
 
-    One scan with grouping sets; a row may count in both periods when they overlap. Entries
-    without a time belong to both, as they pass every time filter.
+    One scan: a row stands once for its message, once for its service and once for the total, and
+    every task combines its counts before the shuffle. A row may count in both periods when they
+    overlap. Entries without a time belong to both, as they pass every time filter.
     """
     ts = F.col("ts")
+
+    def stands_for(kind, key):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    marks = F.array(
+        stands_for(MESSAGE, F.col("message")),
+        stands_for(SERVICE, F.coalesce("service", F.lit(UNKNOWN))),
+        stands_for(TOTAL, F.lit(None).cast("string")),
+    )
     tagged = search(logs, query).select(
-        "message",
-        F.coalesce("service", F.lit(UNKNOWN)).alias("service"),
         is_alarm().alias("alarm"),
         (ts.isNull() | baseline.holds(ts)).alias("in_baseline"),
         (ts.isNull() | comparison.holds(ts)).alias("in_comparison"),
+        marks.alias("marks"),
     )
     tagged = tagged.where(F.col("in_baseline") | F.col("in_comparison"))
-    columns = ["message", "service"]
-    counted = tagged.groupingSets([["message"], ["service"], []], *columns).agg(
-        F.grouping_id().alias("gid"),
-        F.count_if("in_baseline").alias("baseline"),
-        F.count_if("in_comparison").alias("comparison"),
-        F.count_if(F.col("in_baseline") & F.col("alarm")).alias("baseline_errors"),
-        F.count_if(F.col("in_comparison") & F.col("alarm")).alias("comparison_errors"),
-    )
-    # Bits of the grouping id: message 2, service 1; a set bit is a column left out.
-    kind = (
-        F.when(F.col("gid") == 1, MESSAGE).when(F.col("gid") == 2, SERVICE).otherwise(TOTAL)
-    )
-    return counted.select(
-        kind.alias("kind"),
-        F.coalesce(*columns).alias("key"),
-        "baseline",
-        "comparison",
-        "baseline_errors",
-        "comparison_errors",
+    counted = (
+        tagged.select("alarm", "in_baseline", "in_comparison", F.explode("marks").alias("mark"))
+        .groupBy(F.col("mark.kind").alias("kind"), F.col("mark.key").alias("key"))
+        .agg(
+            F.count_if("in_baseline").alias("baseline"),
+            F.count_if("in_comparison").alias("comparison"),
+            F.count_if(F.col("in_baseline") & F.col("alarm")).alias("baseline_errors"),
+            F.count_if(F.col("in_comparison") & F.col("alarm")).alias("comparison_errors"),
+        )
     )
+    return whole_rows(counted)
 
 
 def error_rate(errors: Column, total: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions.timestamps import epoch_cell, iso_text
 from ..schema import is_alarm
 from ..sources.catalog import choose_sources
 from .predicates import filter_logs, in_time_range
+from .reuse import never_null, whole_rows
 
 # Cells per block: a window over one block sees at most this many rows.
 CELLS_PER_BLOCK = 65_536
@@ -55,13 +56,14 @@ def _chained_cells(near: DataFrame, gap: int, cell: Column) -> DataFrame:
     break. Breaks are numbered inside blocks of cells, and the blocks, one row each, are totalled
     to continue the numbers; no window sees the entries themselves.
     """
-    cells = near.groupBy(cell.alias("cell")).agg(
+    cells = near.groupBy(never_null(cell, 0).alias("cell")).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.count("*").alias("entries"),
         F.count_if(is_alarm()).alias("alarms"),
     )
-    block = F.call_function("div", F.col("cell"), F.lit(CELLS_PER_BLOCK))
+    cells = whole_rows(cells)
+    block = never_null(F.call_function("div", F.col("cell"), F.lit(CELLS_PER_BLOCK)), 0)
     inside = W.partitionBy("block").orderBy("cell")
     apart = F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(inside)) > gap
     cells = (

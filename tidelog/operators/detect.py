@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import template
-from ..functions.timeexpr import TimeRange, micros, parse_width
+from ..functions.timeexpr import UTC, TimeRange, micros, parse_width
 from ..functions.timestamps import epoch_bucket
 from ..schema import is_alarm
 from .aggregate import BUCKET, group_key, numeric_field
 from .predicates import filter_logs, in_time_range
+from .reuse import never_null, whole_rows
 
 SAMPLES = 3
 
@@ -18,6 +21,8 @@ THRESHOLDS = {"low": 3.0, "medium": 2.0, "high": 1.5}
 
 METRICS = ("log_volume", "error_rate", "latency")
 
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
 # Buckets written out by one task when a series is filled.
 FILL_RUN = 4096
 
@@ -43,14 +48,20 @@ def detect_error_patterns(
     """Templates of error messages seen at least `min_occurrences` times.
 
     Columns: pattern, count, sample_messages (the three smallest distinct ones), first_seen,
-    last_seen, services (sorted). Counts are folded per (template, service) first. Samples are cut
-    to three per template inside every task, so a template with most of the rows stays small.
+    last_seen, services (sorted). Errors are folded per (template, service, message) first, which
+    both the counts and the samples read. Samples are cut to three per template inside every
+    task, so a template with most of the rows stays small.
     """
     errors = error_entries(logs, tr, service)
     named = errors.select(template(F.col("message")).alias("pattern"), "message", "service", "ts")
-    per_service = named.groupBy("pattern", "service").agg(
+    folded = named.groupBy("pattern", "service", "message").agg(
         F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
+    folded = whole_rows(folded)
+    # Distinct services of a template are few; its messages may be as many as the errors.
+    per_service = folded.groupBy("pattern", "service").agg(
+        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
     patterns = (
         per_service.groupBy("pattern")
         .agg(
@@ -61,12 +72,12 @@ def detect_error_patterns(
         )
         .where(F.col("count") >= min_occurrences)
     )
-    place = F.row_number().over(W.partitionBy("pattern").orderBy("message"))
+    place = F.dense_rank().over(W.partitionBy("pattern").orderBy("message"))
     samples = (
-        named.select("pattern", "message")
-        .distinct()
-        .withColumn("place", place)
+        folded.withColumn("place", place)
         .where(F.col("place") <= SAMPLES)
+        .groupBy("pattern", "message")
+        .agg(F.count("*").alias("services"))
         .groupBy("pattern")
         .agg(F.sort_array(F.collect_list("message")).alias("sample_messages"))
     )
@@ -95,8 +106,9 @@ def metric_series(
         value = F.count_if(is_alarm()) / F.count("*")
     else:
         value = F.count("*").cast("double")
-    start = epoch_bucket(F.col("ts"), width).alias(BUCKET)
+    start = never_null(epoch_bucket(F.col("ts"), width), EPOCH).alias(BUCKET)
     series = timed.groupBy(*[group_key(n).alias(n) for n in by], start).agg(value.alias("value"))
+    series = whole_rows(series)
     return fill_series(series, micros(width), list(by)) if metric == "log_volume" else series
 
 
