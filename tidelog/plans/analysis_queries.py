@@ -253,7 +253,7 @@ def anomalies(metric, sensitivity, bucket, by=(), field="value"):
     return query
 
 
-def anomalies_sql(value, threshold, bucket, filled, key="'all'"):
+def anomalies_sql(value, threshold, bucket, filled, key="'all'", more=""):
     start = f"time_bucket(interval {bucket}, ts, timestamp '1970-01-01')"
     grid = f"""select key, unnest(generate_series(min(b), max(b), interval {bucket})) as b from s group by key"""
     points = "s" if not filled else f"(select g.key, g.b, coalesce(s.v, 0.0) as v from ({grid}) g left join s using (key, b))"
@@ -262,31 +262,35 @@ def anomalies_sql(value, threshold, bucket, filled, key="'all'"):
         f"""select {shown}{iso_sql('b')} as timestamp_bucket, {r4('mean')} as expected_value,
           {r4('v')} as actual_value, {r4(f'abs(v - mean) / sd / {threshold}')} as deviation_score
         from (select *, avg(v) over (partition by key) as mean, stddev_samp(v) over (partition by key) as sd
-              from {points} p) z where sd > 0 and abs(v - mean) / sd / {threshold} > 1""",
+              from {points} p) z where sd > 0 and abs(v - mean) / sd / {threshold} > 1 {more}""",
         f"s as (select {key} as key, {start} as b, {value} as v from logs group by 1, 2)",
     )
 
 
+def closed_sql(end, lateness):
+    """Append output holds what ended before the watermark, which counts whole milliseconds."""
+    return f"{end} <= (select date_trunc('millisecond', max(ts)) from logs) - interval {lateness}"
+
+
 def s1_follow(spark, sf_dir):
     found = live.follow(as_logs(event_stream(spark, sf_dir)), "timeout", service="svc2")
-    return entry_columns(run_to_table(found, "append"))
+    return entry_columns(run_to_table(found))
 
 
 def s2_follow_aggregate(spark, sf_dir):
     found = live.follow_aggregate(as_logs(event_stream(spark, sf_dir)), ["level"], "1h", "30m", "avg", "value")
-    return times(rounded(run_to_table(found, "complete"), "value"), "timestamp_bucket")
+    return times(rounded(run_to_table(found), "value"), "timestamp_bucket")
 
 
 def s3_follow_correlate(spark, sf_dir):
     found = live.follow_correlate(as_logs(event_stream(spark, sf_dir)), "20m", "service", "1h")
-    return times(run_to_table(found, "complete"), "start_ts", "end_ts")
+    return times(run_to_table(found), "start_ts", "end_ts")
 
 
 def s4_follow_anomalies(spark, sf_dir):
-    """Every window is closed by a later one except the last ones, which append leaves out."""
     model = detect.anomaly_model(logs(spark, sf_dir), bucket="6h", by=["source"])
     found = live.follow_anomalies(as_logs(event_stream(spark, sf_dir)), model, bucket="6h", sensitivity="high")
-    found = rounded(run_to_table(found, "append"), "expected_value", "actual_value", "deviation_score")
+    found = rounded(run_to_table(found), "expected_value", "actual_value", "deviation_score")
     return times(found, "timestamp_bucket")
 
 
@@ -376,13 +380,15 @@ QUERIES = {
         f"select {ENTRY_SQL} from logs where contains(message, 'timeout') and service = 'svc2'")),
     "s2_follow_aggregate": (s2_follow_aggregate, with_logs(f"""
         select {iso_sql('start')} as timestamp_bucket, level, {r4('v')} as value, n as count from (
-          select date_trunc('hour', ts) as start, level, avg(value) as v, count(*) as n from logs group by 1, 2) g""")),
+          select date_trunc('hour', ts) as start, level, avg(value) as v, count(*) as n from logs group by 1, 2) g
+        where {closed_sql("start + interval 1 hour", "30 minute")}""")),
     "s3_follow_correlate": (s3_follow_correlate, with_logs(
         f"""select service, {iso_sql('min(ts)')} as start_ts, {iso_sql('max(ts)')} as end_ts, count(*) as entries,
           round(least(count(*) filter (level in ('ERROR', 'WARN', 'WARNING')) / count(*) + 0.1, 1.0), 2) as score
         from (select *, sum(step) over (partition by service order by ts rows unbounded preceding) as g from st) l
-        group by service, g""",
+        group by service, g having {closed_sql("max(l.ts) + interval 20 minute", "1 hour")}""",
         """st as (select *, case when ts - lag(ts) over (partition by service order by ts) <= interval 20 minute
              then 0 else 1 end as step from logs where service is not null)""")),
-    "s4_follow_anomalies": (s4_follow_anomalies, None),
+    "s4_follow_anomalies": (s4_follow_anomalies, anomalies_sql(
+        "count(*)::double", 1.5, "6 hour", True, "source", f"and v > 0 and {closed_sql('b + interval 6 hour', '10 minute')}")),
 }

@@ -7,24 +7,20 @@ from pyspark.sql import DataFrame
 from ..session import shared_dir
 
 
-def run_to_table(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
-    """Process all input there is, write the output as Parquet and return it.
+def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Process all input there is, append the output to a Parquet table and return the table.
 
-    Progress and state lie in the shared folder, so a lost executor or a restart loses nothing.
-    Append output goes to the file sink; complete output replaces the table with every batch.
+    Windows and sessions appear once the watermark has closed them. Progress, state and output
+    lie in the shared folder, so a lost executor or a restart loses and repeats nothing.
     """
     spark = stream.sparkSession
     path = path or shared_dir(spark, "stream")
-    writer = (
-        stream.writeStream.outputMode(mode)
+    query = (
+        stream.writeStream.outputMode("append")
+        .format("parquet")
         .option("checkpointLocation", shared_dir(spark, "progress"))
         .trigger(availableNow=True)
+        .start(path)
     )
-    if mode == "append":
-        query = writer.format("parquet").start(path)
-    else:
-        query = writer.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(path)
-        ).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
