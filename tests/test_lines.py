@@ -128,6 +128,12 @@ def test_read_lines(spark, tmp_path):
     assert read(f"{root}/**/deep/*.log") == ["deep"]
     assert read(f"{root}/nothing/*.log") == []
     assert read(f"{root}/*.txt", f"{root}/none") == ["other"]
+    assert read(f"{root}/*.log", f"{root}/a.*", f"{root}/**/*.log", f"{root}/**") == [
+        "bad � byte", "deep", "last", "one", "other"
+    ]
+    assert read(f"{root}/sub/deep", f"{root}/**/*.log") == ["bad � byte", "deep", "last", "one"]
+    unique = src.read_log_lines(spark, [f"{root}/*.log", f"{root}/**/*.log"], "s").select("line_pos")
+    assert unique.distinct().count() == unique.count() == 4
 
 
 def test_seq_follows_path_and_line_over_split_files(spark, tmp_path):

@@ -42,46 +42,55 @@ class LineOptions:
 def _path_regex(pattern: str) -> str:
     """Regex for a path glob in which `**` spans any number of folders."""
     parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    pieces = re.split(r"(\*\*/|\*\*|\*|\?)", pattern)
+    pieces = re.split(r"(\*\*/|\*\*|\*|\?)", pattern.rstrip("/"))
     return "".join(parts.get(p, re.escape(p)) for p in pieces) + "$"
 
 
+def _matches(path: Column, pattern: str) -> Column:
+    """Whether a pattern stands for the file; a plain folder stands for the files in it."""
+    return path.rlike(_path_regex(pattern)) | path.rlike(_path_regex(pattern.rstrip("/") + "/*"))
+
+
+def _files_of(spark: SparkSession, pattern: str) -> DataFrame | None:
+    """Raw lines of the files of one pattern, None if there is no such file."""
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    root, spans, _ = pattern.partition("**")
+    try:
+        lines = reader.option("recursiveFileLookup", bool(spans)).text(root if spans else pattern)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    lines = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+    )
+    return lines.where(F.col("file_path").rlike(_path_regex(pattern))) if spans else lines
+
+
 def read_log_lines(spark: SparkSession, paths, source: str) -> DataFrame:
     """Stripped, non-blank lines of all files matching `paths`, with their position.
 
     Columns: source, file_path, block_start, line_pos, value. Within one block of a file
     `line_pos` rises with the line, so (file_path, block_start, line_pos) is the order of the
-    files' text. Files that cannot be read and patterns without a file give no rows.
+    files' text. A file matched by several patterns is read for the first one only. Files that
+    cannot be read and patterns without a file give no rows.
     """
-    frames = []
-    for pattern in [paths] if isinstance(paths, str) else paths:
-        reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        root, spans, _ = pattern.partition("**")
-        if spans:
-            reader = reader.option("recursiveFileLookup", "true")
-        try:
-            lines = reader.text(root if spans else pattern)
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                continue
-            raise
-        lines = lines.select(
-            "value",
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("line_pos"),
-        )
-        if spans:
-            lines = lines.where(F.col("file_path").rlike(_path_regex(pattern)))
-        frames.append(lines)
-    if not frames:
-        none = "value string, file_path string, block_start bigint, line_pos bigint"
-        frames.append(spark.createDataFrame([], none))
-    lines = frames[0]
-    for more in frames[1:]:
-        lines = lines.unionByName(more)
+    patterns = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+    lines = None
+    for i, pattern in enumerate(patterns):
+        found = _files_of(spark, pattern)
+        if found is None:
+            continue
+        for earlier in patterns[:i]:
+            found = found.where(~_matches(F.col("file_path"), earlier))
+        lines = found if lines is None else lines.unionByName(found)
+    if lines is None:
+        lines = spark.createDataFrame([], "value string, file_path string, block_start bigint")
     return (
-        lines.withColumn("value", strip(F.make_valid_utf8("value")))
+        lines.withColumn("line_pos", F.monotonically_increasing_id())
+        .withColumn("value", strip(F.make_valid_utf8("value")))
         .where(F.col("value") != "")
         .select(F.lit(source).alias("source"), *POSITION_COLUMNS, "value")
     )

@@ -18,11 +18,14 @@ def line_offsets(staged: DataFrame) -> DataFrame:
     The range number is written with the rows, so both readers see the same parts.
     """
     spark = staged.sparkSession
-    order = ["source", "file_path", "block_start"]
-    blocks = staged.groupBy(*order).agg(
+    keys = ["source", "file_path", "block_start"]
+    blocks = staged.groupBy(*keys).agg(
         F.min("line_pos").alias("first_pos"),
         (F.max("line_pos") - F.min("line_pos") + 1).alias("lines"),
     )
+    # Paths are ordered part by part: the separator comes before any other character.
+    blocks = blocks.withColumn("path_parts", F.translate("file_path", "/", "\u0000"))
+    order = ["source", "path_parts", "block_start"]
     folder = shared_dir(spark, "blocks")
     ranged = blocks.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     ranged.write.parquet(folder)
@@ -40,7 +43,7 @@ def line_offsets(staged: DataFrame) -> DataFrame:
     return (
         blocks.withColumn("inside", inside)
         .join(parts, "part")
-        .select(*order, "first_pos", (F.col("part_base") + F.col("inside")).alias("base"))
+        .select(*keys, "first_pos", (F.col("part_base") + F.col("inside")).alias("base"))
     )
 
 
