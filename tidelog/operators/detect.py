@@ -48,16 +48,15 @@ def detect_error_patterns(
     """Templates of error messages seen at least `min_occurrences` times.
 
     Columns: pattern, count, sample_messages (the three smallest distinct ones), first_seen,
-    last_seen, services (sorted). Errors are folded per (template, service, message) first, which
-    both the counts and the samples read. Samples are cut to three per template inside every
+    last_seen, services (sorted). Errors are folded per (service, message) first, which both the
+    counts and the samples read, so a repeated message is masked once. Samples are cut to three per template inside every
     task, so a template with most of the rows stays small.
     """
     errors = error_entries(logs, tr, service)
-    named = errors.select(template(F.col("message")).alias("pattern"), "message", "service", "ts")
-    folded = named.groupBy("pattern", "service", "message").agg(
+    folded = errors.groupBy("service", "message").agg(
         F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
-    folded = whole_rows(folded)
+    folded = whole_rows(folded).withColumn("pattern", template(F.col("message")))
     # Distinct services of a template are few; its messages may be as many as the errors.
     per_service = folded.groupBy("pattern", "service").agg(
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
