@@ -202,8 +202,13 @@ _TOPS = {
 
 def _top_sql(name):
     key, period = _TOPS[name]
-    return f"""(select string_agg({key} || '=' || n, '|' order by n desc, {key}) from
-      (select {key}, count(*) as n from hit where {period} group by 1 order by n desc, 1 limit 5) t) as {name}"""
+    return f"""coalesce((select string_agg({key} || '=' || n, '|' order by n desc, {key}) from
+      (select {key}, count(*) as n from hit where {period} group by 1 order by n desc, 1 limit 5) t), '') as {name}"""
+
+
+def _pct_sql(before, after):
+    return f"""case when {before} = 0 and {after} > 0 then 'inf'::double when {before} = 0 then 0.0::double
+      else round(({after} - {before}) / {before} * 100, 2) end"""
 
 
 def _change_text(change, word, stable):
@@ -223,7 +228,7 @@ G5_SQL = with_logs(
       {_change_text('error_change', 'Errors', 'Error rate is relatively stable.')} ||
       coalesce((select ' New messages appeared: ' || string_agg(message, ', ' order by message) || '.'
         from (select message from fresh order by message limit 3) f), '') as summary
-    from (select *, round((ct - bt) / bt * 100, 2) as total_change, round((ce - be) / be * 100, 2) as error_change from sums) s""",
+    from (select *, {_pct_sql('bt', 'ct')} as total_change, {_pct_sql('be', 'ce')} as error_change from sums) s""",
     f"hit as (select *, coalesce(service, 'unknown') as svc from logs where {ERROR_HIT} or lower(level) = 'error')",
     f"""sums as (select count(*) filter ({NARROW_SQL}) as bt, count(*) filter ({COMPARISON_SQL}) as ct,
        count(*) filter ({NARROW_SQL} and level in ('ERROR', 'WARN', 'WARNING')) as be,
@@ -349,7 +354,8 @@ QUERIES = {
         select message as key, count(*) as count from logs where {COMPARISON_SQL}
         group by 1 order by count desc, key limit 5""")),
     "g2_g3_changes": (g2_g3_changes, with_logs(
-        """select service, round((c - b) / b * 100, 2) as change, round(ce / c - be / b, 4) as rate_change from t""",
+        f"""select service, {_pct_sql('b', 'c')} as change,
+            round(ce / greatest(c, 1) - be / greatest(b, 1), 4) as rate_change from t where b + c > 0""",
         f"""t as (select coalesce(service, 'unknown') as service, count(*) filter ({BASELINE_SQL}) as b,
             count(*) filter ({COMPARISON_SQL}) as c,
             count(*) filter ({BASELINE_SQL} and level in ('ERROR', 'WARN', 'WARNING')) as be,
