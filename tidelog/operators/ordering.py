@@ -12,12 +12,13 @@ from ..functions.timeexpr import TimeRange, UTC
 from .predicates import in_time_range, search
 
 # Up to here an offset is skipped inside the top-k; beyond it, by counting blocks of `seq`.
-SHALLOW_OFFSET = 100_000
+SHALLOW_OFFSET = 2_000
 SEQ_BLOCK = 1 << 20
 
 # Spark keeps only the first rows of each group per task up to this rank.
 GROUP_LIMIT = 1000
-SALTS = 64
+# Input tasks whose first rows are merged before the last round.
+FAN_IN = 1024
 
 
 def latest(logs: DataFrame, limit: int) -> DataFrame:
@@ -89,24 +90,29 @@ def top_n(buckets: DataFrame, n: int, count: str = "count") -> DataFrame:
     return buckets.orderBy(F.col(count).desc(), *keys).limit(n)
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, salt: str) -> DataFrame:
+def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first `n` rows of each group in a total order.
 
-    Up to GROUP_LIMIT Spark itself cuts each group inside every task before the shuffle; above
-    it a first round salted by the column `salt` does, so a group with most of the rows never
-    meets in one task whole.
+    Every input task first cuts each group to its first `n` rows, which Spark does by itself up to
+    GROUP_LIMIT and a round per task does above it. What is left is merged over FAN_IN salts and
+    then per group, so the last round sees at most FAN_IN * n rows of a group whatever its size.
+    The salt is the number of the input task; any salt gives the same rows.
     """
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+
+    def cut(rows, by):
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+
+    salted = df.withColumn("salt", F.spark_partition_id())
     if n > GROUP_LIMIT:
-        salted = df.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
-        first = F.row_number().over(W.partitionBy(*keys, "salt").orderBy(*order))
-        df = salted.withColumn("rank", first).where(F.col("rank") <= n).drop("salt", "rank")
-    return df.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+        salted = cut(salted, [*keys, "salt"])
+    salted = cut(salted.withColumn("salt", F.col("salt") % FAN_IN), [*keys, "salt"])
+    return cut(salted.drop("salt"), keys)
 
 
 def top_per_source(logs: DataFrame, n: int) -> DataFrame:
     """The first `n` entries of each source by time."""
-    return top_per_group(logs, ["source"], [F.col("ts").asc_nulls_last(), "seq"], n, "seq")
+    return top_per_group(logs, ["source"], [F.col("ts").asc_nulls_last(), "seq"], n)
 
 
 def timeline(logs: DataFrame, tr: TimeRange | None = None) -> DataFrame:
