@@ -39,6 +39,19 @@ def test_pages_by_cursor_cover_everything(logs):
     assert got == want
 
 
+def test_pages_over_sources_with_equal_seq(logs):
+    both = logs.withColumn("source", F.lit("a")).unionByName(logs.withColumn("source", F.lit("b")))
+    got, cursor = [], None
+    while True:
+        page = o.page_after(both, cursor, 7).collect()
+        got += [(r.seq, r.source) for r in page]
+        if len(page) < 7:
+            break
+        cursor = o.encode_cursor(utc(page[-1].ts), page[-1].seq, page[-1].source)
+    assert len(got) == len(set(got)) == 120
+    assert [r.source for r in o.first_matches(both, 4).collect()] == ["a", "b", "a", "b"]
+
+
 def test_offset(logs):
     assert seqs(o.first_matches(logs, 2, 1)) == [1, 2]
     assert seqs(o.first_matches(logs, 10, 55)) == [55, 56, 57, 58, 59]

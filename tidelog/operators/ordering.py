@@ -1,4 +1,8 @@
-"""Order, limits and paging. Ties are always broken, so pages do not depend on the run."""
+"""Order, limits and paging.
+
+`seq` is unique within a source, so (time, seq, source) orders any set of entries totally and no
+page depends on the run.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +27,8 @@ FAN_IN = 1024
 
 def latest(logs: DataFrame, limit: int) -> DataFrame:
     """Newest first, at most `limit`; entries without a time come last."""
-    return logs.orderBy(F.col("ts").desc_nulls_last(), F.col("seq").desc()).limit(limit)
+    newest = [F.col("ts").desc_nulls_last(), F.col("seq").desc(), F.col("source").desc()]
+    return logs.orderBy(*newest).limit(limit)
 
 
 def first_matches(logs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -34,7 +39,7 @@ def first_matches(logs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     are ranked. The page is the same.
     """
     if offset + limit <= SHALLOW_OFFSET:
-        return logs.orderBy("seq").offset(offset).limit(limit)
+        return logs.orderBy("seq", "source").offset(offset).limit(limit)
     blocked = logs.withColumn("seq_block", F.call_function("div", F.col("seq"), F.lit(SEQ_BLOCK)))
     counts = blocked.groupBy("seq_block").agg(F.count("*").alias("n"))
     # One row per occupied block, never one per entry.
@@ -43,10 +48,10 @@ def first_matches(logs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     wanted = counts.where(
         (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
     )
-    rank = F.row_number().over(W.partitionBy("seq_block").orderBy("seq")) + F.col("before")
+    rank = F.row_number().over(W.partitionBy("seq_block").orderBy("seq", "source")) + F.col("before")
     page = blocked.join(wanted.drop("n"), "seq_block").withColumn("rank", rank)
     page = page.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    return page.orderBy("seq").limit(limit).drop("seq_block", "before", "rank")
+    return page.orderBy("seq", "source").limit(limit).drop("seq_block", "before", "rank")
 
 
 def next_offset(limit: int, offset: int, returned: int) -> int | None:
@@ -54,22 +59,23 @@ def next_offset(limit: int, offset: int, returned: int) -> int | None:
     return offset + limit if returned >= limit else None
 
 
-def encode_cursor(ts: datetime | None, seq: int) -> str:
-    """Token of the last entry of a page."""
+def encode_cursor(ts: datetime | None, seq: int, source: str = "") -> str:
+    """Token of the last entry of a page; the source matters where several are paged together."""
     stamp = ts.replace(tzinfo=ts.tzinfo or UTC).isoformat() if ts else None
-    return base64.urlsafe_b64encode(json.dumps([stamp, seq]).encode()).decode()
+    return base64.urlsafe_b64encode(json.dumps([stamp, seq, source]).encode()).decode()
 
 
-def decode_cursor(token: str) -> tuple[datetime | None, int]:
-    stamp, seq = json.loads(base64.urlsafe_b64decode(token))
-    return (datetime.fromisoformat(stamp) if stamp else None), seq
+def decode_cursor(token: str) -> tuple[datetime | None, int, str]:
+    stamp, seq, source = json.loads(base64.urlsafe_b64decode(token))
+    return (datetime.fromisoformat(stamp) if stamp else None), seq, source
 
 
 def page_after(logs: DataFrame, cursor: str | None, limit: int) -> DataFrame:
     """The page after the token, newest first. Costs the same however deep the page is."""
     if cursor:
-        last_ts, last_seq = decode_cursor(cursor)
-        ts, older = F.col("ts"), F.col("seq") < last_seq
+        last_ts, last_seq, last_source = decode_cursor(cursor)
+        ts, seq = F.col("ts"), F.col("seq")
+        older = (seq < last_seq) | ((seq == last_seq) & (F.col("source") < last_source))
         if last_ts is None:
             logs = logs.where(ts.isNull() & older)
         else:
@@ -81,7 +87,8 @@ def page_after(logs: DataFrame, cursor: str | None, limit: int) -> DataFrame:
 def tail(logs: DataFrame, lines: int = 50, query: str | None = None) -> DataFrame:
     """The last `lines` entries in ingest order, oldest of them first, after an optional search."""
     found = search(logs, query) if query else logs
-    return found.orderBy(F.col("seq").desc()).limit(lines).orderBy("seq")
+    last = found.orderBy(F.col("seq").desc(), F.col("source").desc()).limit(lines)
+    return last.orderBy("seq", "source")
 
 
 def top_n(buckets: DataFrame, n: int, count: str = "count") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.values import percent_change
 from ..operators import compare, correlate, detect
 from ..operators import root_cause as rc
 from ..streaming import follow as live
-from ..streaming.run import run_to_table
+from ..streaming.run import keep_model, run_to_table
 from .events import as_logs, event_stream, iso_sql, logs, with_logs
 from .log_queries import RANGE, RANGE_SQL, r4, rounded
 from .source_queries import ENTRY_SQL, entry_columns
@@ -293,7 +293,7 @@ def s3_follow_correlate(spark, sf_dir):
 
 
 def s4_follow_anomalies(spark, sf_dir):
-    model = detect.anomaly_model(logs(spark, sf_dir), bucket="6h", by=["source"])
+    model = keep_model(detect.anomaly_model(logs(spark, sf_dir), bucket="6h", by=["source"]))
     found = live.follow_anomalies(as_logs(event_stream(spark, sf_dir)), model, bucket="6h", sensitivity="high")
     found = rounded(run_to_table(found), "expected_value", "actual_value", "deviation_score")
     return times(found, "timestamp_bucket")

@@ -75,7 +75,8 @@ def follow_anomalies(
 ) -> DataFrame:
     """Live volume per bucket and key, scored against a model from `anomaly_model` with these keys.
 
-    The model has one row per key; Spark broadcasts it only if its size allows.
+    The model has one row per key and should be a written table, see `keep_model`; Spark
+    broadcasts it only if its size allows.
     """
     if not by:
         raise ValueError("name the keys of the model, for example source")

@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame
 from ..session import shared_dir
 
 
+def keep_model(model: DataFrame, path: str | None = None) -> DataFrame:
+    """The model as a written table: a stream would work out anything else with every batch."""
+    path = path or shared_dir(model.sparkSession, "model")
+    model.write.parquet(path)
+    return model.sparkSession.read.parquet(path)
+
+
 def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Process all input there is, append the output to a Parquet table and return the table.
 
