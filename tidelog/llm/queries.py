@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, langid, pii, simhash, topk
+from tidelog.llm import decontaminate, langid, pieces, pii, shards, simhash, substrings, topk, urls
 from tidelog.llm.common import prepare, table
+from tidelog.session import shared_dir
+
+#: Where the public vocabularies lie.
+TOKENIZERS = "/opt/tokenizers"
+# Fixed value: the pattern that belongs to the byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END_ID = 50256
 
 
 def digest(text) -> F.Column:
@@ -32,6 +39,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(table(prepare(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", digest("kept").alias("kept_sha256"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.train(docs.where(langid.for_training()))
@@ -96,12 +108,43 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join c using (doc_id) left join t using (doc_id)
 """
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page shows the document whose number its path ends with; a page is bad if that document is labelled
+    as toxic or of low quality."""
+    pages, labels = table(prepare(spark), sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(\.html)?/?$", 1)
+    shown = pages.select("url", F.when(number != "", number).cast("bigint").alias("doc_id"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return urls.judge(pages, shown.join(labels, "doc_id").select("url", bad.alias("bad")))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return pieces.encode_and_check(docs, pieces.read_pieces(model))
+
+
+def op10_shards(
+    spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", key: int = 20240601
+) -> DataFrame:
+    """Every sequence as it was read back from the shards; the ids as a digest of their two-byte values."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    path = shared_dir(spark, "shards")
+    shards.write_shards(docs, shards.read_vocabulary(ranks, PATTERN, END_ID), path, key=key)
+    found = shards.read_shards(spark, path, raw=True)
+    n_ids = (F.octet_length("ids") / 2).cast("int").alias("n_ids")
+    return found.select("slot", "shard", "doc_id", "part", n_ids, digest("ids").alias("ids_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op4_substrings": op4_substrings,
     "op5_language": op5_language,
     "op6_topk": op6_topk,
     "op7_decontaminate": op7_decontaminate,
+    "op8_urls": op8_urls,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_shards": op10_shards,
 }
 
 ORACLES = {"op6_topk": OP6_SQL, "op7_decontaminate": OP7_SQL}

@@ -2,8 +2,8 @@
 
 Per host, paths are cut into segments; variable segments (numbers, long or mixed identifiers) become wildcards. A
 path's templates are its prefixes of up to DEPTH segments, from the bare host down. Labelled pages give each template
-its numbers of good and bad pages; siblings with wildcards for one more segment are merged where their shares of bad
-pages do not differ by more than chance. A page is rejected when the deepest of its templates with evidence has a
+its numbers of good and bad pages; branches are merged with their siblings where their shares of bad pages do not
+differ by more than chance. A page is rejected when the deepest of its templates with evidence has a
 smoothed share of bad pages above the limit; the smoothing pulls a template towards its parent, and a host towards all.
 
 Built of DataFrame functions only.
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import staged
+
 DEPTH = 4
 #: Weight of the parent's share in a template's own, in pages.
 PRIOR = 10.0
@@ -62,7 +64,7 @@ def general(segment) -> F.Column:
 
 
 def templates(host, path) -> F.Column:
-    """The templates of a path, bare host first: arrays of (depth, template, parent)."""
+    """The templates of a path, bare host first: an array of (depth, template, parent)."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     marked = F.transform(F.slice(parts, 1, DEPTH), general)
     name = lambda d: F.concat_ws("/", host, F.slice(marked, 1, d))
@@ -72,7 +74,6 @@ def templates(host, path) -> F.Column:
             d.alias("depth"),
             name(d).alias("template"),
             F.when(d > 0, name(F.greatest(d - 1, F.lit(0)))).alias("parent"),
-            F.when(d > 0, F.concat(name(F.greatest(d - 1, F.lit(0))), F.lit("/+"))).alias("merged"),
         ),
     )
 
@@ -85,9 +86,8 @@ def tree(labelled: DataFrame) -> DataFrame:
     together by more than ERRORS standard errors takes their share (the branch is merged).
     """
     steps = labelled.select(F.explode(templates(F.col("host"), F.col("path"))).alias("t"), F.col("bad").cast("int").alias("bad"))
-    counts = steps.groupBy("t.depth", "t.template", "t.parent").agg(
-        F.count("*").alias("n"), F.sum("bad").alias("bad")
-    )
+    counts = steps.groupBy("t.depth", "t.template", "t.parent").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    counts = staged(counts, "templates")
     total = counts.where("depth = 0").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"))
     family = counts.where("parent is not null").groupBy("parent").agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
     joined = counts.join(family, "parent", "left")
