@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, langid, pieces, pii, shards, simhash, substrings, topk, urls
+from tidelog.llm import decontaminate, langid, lines, pieces, pii, shards, simhash, substrings, topk, urls
 from tidelog.llm.common import prepare, table
 from tidelog.session import shared_dir
 
@@ -39,6 +39,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the numbers of lines and of removed lines, and the text that is left."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return lines.dedupe_lines(docs, counts=("n_lines", "n_removed"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(table(prepare(spark), sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", digest("kept").alias("kept_sha256"))
@@ -138,6 +144,7 @@ def op10_shards(
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op3_lines": op3_lines,
     "op4_substrings": op4_substrings,
     "op5_language": op5_language,
     "op6_topk": op6_topk,
