@@ -3,7 +3,7 @@
 A line's signature is over shingles of characters that start at its words; stretches of over a dozen characters
 without a space give one at every place. Each shingle is hashed once. The hashes lie on a ring with fixed marks, and the
 first hash behind a mark is that mark's minimum: two lines agree there with the probability of their sets' Jaccard
-similarity. BANDS bands of ROWS marks each bring lines with one equal band together (at a similarity of 0.8: 99.7%).
+similarity. BANDS bands of ROWS marks each bring lines with one equal band together (at a similarity of 0.8: 98.5%).
 In each such bucket, lines are compared with its least and its greatest line, exactly, by the Jaccard
 similarity of all their shingles of SHINGLE characters. Links of 0.8 or more make components, by rounds of
 star operations in tables, and every component keeps its first line.
@@ -20,7 +20,7 @@ from tidelog.llm.common import components, staged, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 8, 4
 # At each word start: up to six characters; a word of at most twelve is then passed, of a longer one only a character.
 STARTS = r"(?=(.{1,6}))(?:\S{1,12}(?=\s|$)\s*|\S)"
 MARKS = [-(2**63) + (2 * j + 1) * 2**63 // (BANDS * ROWS) for j in range(BANDS * ROWS)]
@@ -39,12 +39,18 @@ def band_keys(lines: DataFrame) -> DataFrame:
     marks = F.array(*[F.lit(m) for m in MARKS])
     marked = ring.select("h", "ring", F.sort_array(F.concat("ring", marks)).alias("marked"))
     # Before mark j there are j other marks; what else is before it tells the place of the first hash behind it.
-    behind = [
-        F.coalesce(F.get("ring", (F.array_position("marked", F.lit(m)) - (j + 1)).cast("int")), F.get("ring", F.lit(0)))
-        for j, m in enumerate(MARKS)
-    ]
-    keys = [F.xxhash64(F.lit(b), *behind[b::BANDS]) for b in range(BANDS)]
-    return marked.select("h", F.explode(F.array(*keys)).alias("key"))
+    behind = F.transform(
+        marks,
+        lambda m, j: F.coalesce(
+            F.get("ring", (F.array_position("marked", m) - (j + 1)).cast("int")), F.get("ring", F.lit(0))
+        ),
+    )
+    mins = marked.select("h", behind.alias("mins"))
+    key = F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda b: F.xxhash64(b, *[F.get("mins", b + BANDS * r) for r in range(ROWS)]),
+    )
+    return mins.select("h", F.explode(key).alias("key"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -69,11 +75,16 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     """The pairs whose exact Jaccard similarity reaches the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = staged(lines.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "lines")
-    a = texts.select(F.col("h").alias("a"), shingles(F.col("line")).alias("x"))
-    b = texts.select(F.col("h").alias("b"), shingles(F.col("line")).alias("y"))
+    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
+    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     joint = pairs.join(a, "a").join(b, "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return joint.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    # Texts move, not their shingles; the one-element array lets both sets be made once per pair.
+    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
+    share = round(1000 * similarity)
+    alike = F.transform(
+        sets, lambda p: F.size(F.array_intersect(p.x, p.y)) * (1000 + share) >= (F.size(p.x) + F.size(p.y)) * share
+    )
+    return joint.where(F.get(alike, F.lit(0))).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
