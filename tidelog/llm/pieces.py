@@ -17,6 +17,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tidelog.llm.common import extend
 
 MARK = "▁"
 #: Words and pairs of pieces that a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 # Fixed values of the model format: kinds of pieces and of models.
 UNKNOWN, CONTROL, UNUSED, BYTE = 2, 3, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -87,12 +88,17 @@ class Pieces:
                        for p, k in zip(self.pieces, self.kinds)]
         self.longest = max((len(p) for p, _ in whole), default=1)
         self.letters = {c for p, _ in whole for c in p}
+        # Every beginning of a piece, with the piece's id where it is one (0 is the unknown piece, never a text).
+        self.begun = {p[:n]: 0 for p, _ in whole for n in range(1, len(p) + 1)} | self.ids
         self.least = min((self.scores[i] for _, i in whole), default=0.0) - 10
-        # A chunk is a run of spaces with the word behind it, unless some piece reaches over a new word's start.
+        # A chunk is a run of spaces with the word behind it, or a line feed that no piece has, unless some piece reaches
+        # over a new word's start.
         reaching = any(MARK in p.lstrip(MARK) for p, _ in whole)
-        self.chunk = re.compile(r"(?s).+" if reaching else r" +[^ ]*|[^ ]+")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        line = "" if "\n" in self.letters else "\n"
+        self.chunk = re.compile(r"(?s).+" if reaching else rf" +[^ {line}]*|[^ {line}]+|[ {line}]")
+        self.known = Known(self)
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("pieces", "scores", "kinds", "model", "prefix")}
@@ -116,47 +122,65 @@ class Pieces:
 
     def fit(self, left: str, right: str) -> bool:
         """Whether a BPE encoding may have these neighbours; left is empty at the start."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+        if self.n_pairs > REMEMBERED:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        found = self.merged(left + right) == ([left, right] if left else [right])
+        self.pairs.setdefault(left, {})[right] = found
+        return found
 
     def run(self, text: str) -> Iterator[str]:
-        """The pieces of a run of known letters, yielded as soon as they are certain."""
-        start, last, best = 0, [""], [0.0]  # last[i]: the piece that ends at start + i
-        ids, scores, bpe, most = self.ids, self.scores, self.model == BPE, self.longest
-        for end in range(1, len(text) + 1):
-            found, value = None, None
-            for at in range(max(start, end - most), end):
+        """The pieces of a run of known letters, yielded as soon as they are certain.
+
+        From each position the pieces that start there are followed while some piece begins like that.
+        """
+        size, most, bpe = len(text), self.longest, self.model == BPE
+        window = 8 * most
+        start, room = 0, min(size, window + most) + 1
+        last: list[str | None] = [""] + [None] * room  # last[i]: the piece that ends at start + i, once known
+        best = [0.0] * len(last)
+        begun, scores, none = self.begun.get, self.scores, {}
+        for at in range(size):
+            here = at - start
+            left, there = last[here], here + 1
+            known = self.pairs.get(left, none)
+            end, piece = at + 1, text[at]
+            number = begun(piece)
+            while True:
+                if number or there == here + 1:
+                    if not bpe:
+                        score = best[here] + (scores[number] if number else self.least)
+                        if last[there] is None or score > best[there]:
+                            last[there], best[there] = piece, score
+                    elif last[there] is None:
+                        fits = known.get(piece)
+                        if fits or fits is None and self.fit(left, piece):
+                            last[there] = piece
+                end += 1
+                there += 1
+                if end > size:
+                    break
                 piece = text[at:end]
-                number = ids.get(piece)
-                if number is None and end - at > 1:
-                    continue
-                if bpe:
-                    if self.fit(last[at - start], piece):
-                        found = piece
-                        break
-                else:
-                    score = best[at - start] + (self.least if number is None else scores[number])
-                    if value is None or score > value:
-                        found, value = piece, score
-            last.append(found)
-            best.append(value or 0.0)
-            if end - start >= 8 * most:
-                live = set(range(end - most + 1, end + 1))
-                while len(live) > 1 and (furthest := max(live)) > start:
+                number = begun(piece)
+                if number is None:
+                    break
+            if here == window:
+                # Later pieces start at the positions that have been reached beyond this one.
+                live = {p for p in range(here + 1, len(last)) if last[p] is not None}
+                while len(live) > 1 and (furthest := max(live)) > 0:
                     live.discard(furthest)
-                    live.add(furthest - len(last[furthest - start]))
-                (boundary,) = live if len(live) == 1 else {start}
-                if boundary > start:
-                    yield from self.path(last, boundary - start)
-                    last, best = last[boundary - start :], best[boundary - start :]
-                    if not bpe:
-                        best = [b - best[0] for b in best]
-                    start = boundary
-        yield from self.path(last, len(text) - start)
+                    live.add(furthest - len(last[furthest]))
+                boundary = live.pop() if len(live) == 1 else 0
+                yield from self.path(last, boundary)
+                last, best = last[boundary:] + [None] * boundary, best[boundary:] + [0.0] * boundary
+                start += boundary
+                if not boundary:  # the paths have not met yet: look again a window later
+                    last, best = last + [None] * window, best + [0.0] * window
+                    window += 8 * most
+                else:
+                    window = 8 * most
+        yield from self.path(last, size - start)
 
     @staticmethod
     def path(last: list[str], end: int) -> list[str]:
@@ -169,7 +193,7 @@ class Pieces:
     def spell(self, text: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in text.encode()] if self.bytes else [self.unknown]
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
         held: list[str] = []
 
@@ -187,31 +211,37 @@ class Pieces:
                 close()
                 out.extend(self.spell(c or MARK))
         close()
-        return tuple(out)
+        return out
 
-    def encode(self, text: str | None) -> list[int] | None:
+    def encode(self, text: str | None) -> np.ndarray | None:
+        """The ids of a text."""
         if text is None:
             return None
-        out: list[int] = []
-        known = self.known
-        for chunk in self.chunk.findall(f" {text}" if self.prefix and text else text):
-            found = known.get(chunk)
-            if found is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                found = self.encode_chunk(chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = found
-            out += found
-        return out
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        chunks = self.chunk.findall(f" {text}" if self.prefix and text else text)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
 
-    def decode(self, ids: list[int] | None) -> str | None:
+    def decode(self, ids) -> str | None:
         if ids is None:
             return None
-        text = b"".join([self.values[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.values.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class Known(dict):
+    """Ids of words as bytes, worked out when first met; very long words are not kept."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = np.array(self.pieces.encode_chunk(chunk), np.int32).tobytes()
+        if len(chunk) <= 64:
+            self[chunk] = found
+        return found
+
+
 def read_pieces(path: str) -> Pieces:
     with open(path, "rb") as f:
         return Pieces(f.read())
