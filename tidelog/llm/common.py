@@ -82,7 +82,7 @@ def extend(
         work = start()
         for batch in batches:
             found = work(*(batch.column(i).to_pylist() for i in sources))
-            new = [pa.array(column, kind) for column, kind in zip(found, kinds, strict=True)]
+            new = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *new], names=names)
 
     return rows.mapInArrow(run, T.StructType([*kept, *fields]))

@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,8 +218,7 @@ class Pieces:
         """The ids of a text."""
         if text is None:
             return None
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known.trim()
         chunks = self.chunk.findall(f" {text}" if self.prefix and text else text)
         return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
 
@@ -230,17 +230,32 @@ class Pieces:
 
 
 class Known(dict):
-    """Ids of words as bytes, worked out when first met; very long words are not kept."""
+    """Ids of words as bytes, worked out when first met. When there are too many, those met since the last time are
+    kept on; very long words are never kept."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.old = pieces, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.pieces.encode_chunk(chunk), np.int32).tobytes()
+        found = self.old.pop(chunk, None)
+        if found is None:
+            found = np.array(self.pieces.encode_chunk(chunk), np.int32).tobytes()
         if len(chunk) <= 64:
             self[chunk] = found
         return found
 
+    def trim(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
+def listed(rows: list[np.ndarray | None]) -> pa.ListArray:
+    """Id arrays as one Arrow column."""
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)]).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.int32), *(r for r in rows if r is not None)])
+    return pa.ListArray.from_arrays(ends, values, mask=pa.array([r is None for r in rows], pa.bool_()))
+
 
 def read_pieces(path: str) -> Pieces:
     with open(path, "rb") as f:
@@ -255,7 +270,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", column: str = "i
     vocabulary is broadcast, its size is that of the model.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    work = lambda: lambda texts: [[sent.value.encode(t) for t in texts]]
+    work = lambda: lambda texts: [listed([sent.value.encode(t) for t in texts])]
     return extend(docs, [text], work, f"{column} array<int>", drop)
 
 
@@ -275,7 +290,7 @@ def encode_and_check(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", te
 
         def work(texts):
             found = [own.encode(t) for t in texts]
-            return [found, [own.decode(f) for f in found]]
+            return [listed(found), [own.decode(f) for f in found]]
 
         return work
 
