@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import extend, staged, unused
 
-#: Bounds of the model: labelled documents that are read, and entries kept per language and length.
+#: Bounds of the model: labelled documents that are read (expected number), and entries kept per language and length.
 TRAINING_ROWS = 20_000
 WORDS_KEPT = 20_000
 GRAMS_KEPT = 20_000
@@ -96,15 +96,17 @@ def grams_of(marked, size: int) -> F.Column:
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(marked, i, F.lit(size)))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAINING_ROWS) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAINING_ROWS, id_col: str = "doc_id") -> Model:
     """A model from labelled documents.
 
-    At most `rows` of them are read, those with the smallest hashes of their text: the same choice in every
-    run, and the only sample here. Rows without text or language are left out; no rows give a model without languages.
+    Of the usable rows a sample of expected size `rows` is read, the only sample here: those whose hash of id and text
+    lies below the share rows / number of usable rows, the same ones in every run. Rows without text or language are left
+    out; no rows give a model without languages.
     """
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    chosen = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    chosen = staged(chosen.orderBy(F.xxhash64("text"), "text", "lang").limit(rows), "labelled")
+    chosen = usable.select(F.xxhash64(id_col, text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    share = min(1.0, rows / max(1, usable.count()))
+    chosen = staged(chosen.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).drop("h"), "labelled")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), 0)).alias("entry")
     words = staged(chosen.select("lang", word).groupBy("lang", "entry").agg(F.count("*").alias("n")), "words")
     grams = None
@@ -155,7 +157,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang
     """Documents in one of the learned languages; those without letters, or whose words do not speak clearly
     enough for any one language, go. All columns stay as they are."""
     prefix = unused(docs)
-    model = train(docs.where(for_training(id_col)), text, lang)
+    model = train(docs.where(for_training(id_col)), text, lang, id_col=id_col)
     found = predict(docs, model, text, (f"{prefix}lang", f"{prefix}score"))
     clear = (F.col(f"{prefix}lang") != UNKNOWN) & (F.col(f"{prefix}score") >= LEAST_SCORE)
     return found.where(clear).select(*docs.columns)
