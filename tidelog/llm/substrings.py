@@ -320,6 +320,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     """(id, k, ranges): the repeated words of documents (id, k, text), k a hash of the text."""
     every = staged(stretches_of(docs, window), "stretches")
     often = every.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    often = staged(often, "minimizers")  # a side of its own, so that a hot minimizer's join is split
     some = staged(every.join(often, "m", "left_semi"), "candidates")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "start")).alias("first")
     distinct = some.groupBy("m", "s").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words"), F.max("place").alias("place"), first)
