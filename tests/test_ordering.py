@@ -62,7 +62,6 @@ def test_offset(logs):
 def test_deep_offset_gives_the_same_page(logs, monkeypatch, limit, offset):
     matches = logs.where(F.col("seq") % 3 != 1)
     want = seqs(o.first_matches(matches, limit, offset))
-    monkeypatch.setattr(o, "SHALLOW_OFFSET", -1)
     monkeypatch.setattr(o, "SEQ_BLOCK", 8)
     page = o.first_matches(matches, limit, offset)
     assert seqs(page) == want and page.columns == matches.columns
@@ -80,7 +79,7 @@ def test_top_n_ties_by_key(spark):
 
 @pytest.mark.parametrize("threshold", [1000, 1])
 def test_top_per_source(logs, monkeypatch, threshold):
-    monkeypatch.setattr(o, "GROUP_LIMIT", threshold)
+    logs.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
     two = logs.withColumn("source", F.when(F.col("seq") < 50, "big").otherwise("small"))
     got = o.top_per_source(two, 4).collect()
     for source in ("big", "small"):

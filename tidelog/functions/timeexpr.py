@@ -14,6 +14,7 @@ UTC = timezone.utc
 UNIT_SECONDS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
 
 _DELTA = re.compile(r"(?:[0-9.]+[dhms])*")
+_NUMBER = re.compile(r"[0-9]+")
 _DELTA_PART = re.compile(r"([0-9.]+)([dhms])")
 
 
@@ -47,10 +48,9 @@ def resolve_time(text: str | datetime, reference: datetime | None = None) -> dat
 
 
 def parse_window(text: str) -> timedelta:
-    """Correlation window: the digits (5 if none) and one unit, h or s, otherwise minutes."""
-    digits = "".join(c for c in text if c.isdigit())
-    unit = "".join(c for c in text if not c.isdigit())
-    return timedelta(seconds=int(digits or "5") * {"h": 3600, "s": 1}.get(unit, 60))
+    """Correlation window: a number (5 if there is none) and its unit, which is minutes unless it is `h` or `s`."""
+    number, unit = _NUMBER.search(text), _NUMBER.sub("", text)
+    return parse_delta(f"{number[0] if number else 5}{unit if unit in ('h', 's') else 'm'}")
 
 
 def parse_width(text: str) -> timedelta:

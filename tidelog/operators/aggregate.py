@@ -18,8 +18,6 @@ DEFAULT_WIDTH = "5m"
 # Stands for a facet that an entry lacks; such entries belong to no facet value.
 NO_FACET = "\u0000"
 
-# A top-k up to this many values may be broadcast.
-BROADCAST_ROWS = 10_000
 
 # Columns that are not key material even though the log table has them.
 _NOT_KEYS = ("fields", "search_text")
@@ -169,7 +167,8 @@ def facet_counts(
     """Metric by facets, over the `limit` most frequent values of each facet.
 
     Without facets the facet is the timestamp. Rows are folded to one per facet combination first;
-    the value totals and the semi-joins work on those. Each side that is broadcast is a top-k.
+    the value totals and the semi-joins work on those. Their sides are
+    broadcast only where their measured size allows it.
     """
     chosen = dict(_facet(n) for n in (facets or [BUCKET]))
     value = metric_value(func if field else "count", numeric_field(field) if field else None)
@@ -183,7 +182,6 @@ def facet_counts(
         # Mentions the total so that it is not pushed below it.
         totals = totals.where(F.when(F.col("n") > 0, F.col(name) != NO_FACET))
         best = totals.orderBy(F.col("n").desc(), name).limit(limit).select(name)
-        best = F.broadcast(best) if limit <= BROADCAST_ROWS else best
         kept = kept.join(best, name, "left_semi")
     return kept
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.timeexpr import TimeRange
 from ..functions.values import percent_change, two_decimals
 from ..schema import UNKNOWN, is_alarm
-from .predicates import search
+from .predicates import in_time_range, search
 from .reuse import whole_rows
 
 TOP = 5
@@ -18,6 +18,12 @@ NOTABLE_PERCENT = 50
 TOTAL, ERRORS, SERVICE, MESSAGE = "total", "errors", "service", "message"
 
 
+def hull(a: TimeRange, b: TimeRange) -> TimeRange:
+    """The range from the earlier start to the later end; an end that is open in either is open."""
+    start = min(a.start, b.start) if a.start and b.start else None
+    return TimeRange(start, max(a.end, b.end) if a.end and b.end else None)
+
+
 def period_counts(
     logs: DataFrame, baseline: TimeRange, comparison: TimeRange, query: str = ""
 ) -> DataFrame:
@@ -37,7 +43,7 @@ def period_counts(
         stands_for(SERVICE, F.coalesce("service", F.lit(UNKNOWN))),
         stands_for(TOTAL, F.lit(None).cast("string")),
     )
-    tagged = search(logs, query).select(
+    tagged = in_time_range(search(logs, query), hull(baseline, comparison)).select(
         is_alarm().alias("alarm"),
         (ts.isNull() | baseline.holds(ts)).alias("in_baseline"),
         (ts.isNull() | comparison.holds(ts)).alias("in_comparison"),
@@ -63,10 +69,8 @@ def error_rate(errors: Column, total: Column) -> Column:
 
 def period_stats(logs: DataFrame, tr: TimeRange, query: str = "") -> DataFrame:
     """Total, errors and error rate of one period."""
-    ts = F.col("ts")
     return (
-        search(logs, query)
-        .where(ts.isNull() | tr.holds(ts))
+        in_time_range(search(logs, query), tr)
         .agg(F.count("*").alias("total"), F.count_if(is_alarm()).alias("errors"))
         .withColumn("error_rate", F.round(error_rate(F.col("errors"), F.col("total")), 4))
     )

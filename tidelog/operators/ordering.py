@@ -15,12 +15,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.timeexpr import TimeRange, UTC
 from .predicates import in_time_range, search
 
-# Up to here an offset is skipped inside the top-k; beyond it, by counting blocks of `seq`.
-SHALLOW_OFFSET = 2_000
-SEQ_BLOCK = 1 << 20
+# Values of `seq` per block of a page's counts.
+SEQ_BLOCK = 1 << 16
 
-# Spark keeps only the first rows of each group per task up to this rank.
-GROUP_LIMIT = 1000
 # Input tasks whose first rows are merged before the last round.
 FAN_IN = 1024
 
@@ -34,24 +31,24 @@ def latest(logs: DataFrame, limit: int) -> DataFrame:
 def first_matches(logs: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Ingest order, `offset` rows skipped, at most `limit` taken.
 
-    A top-k holds offset + limit rows per task, so a deep offset is located by counts instead:
-    matches are counted per block of 2^20 `seq` values, and only the blocks that overlap the page
-    are ranked. The page is the same.
+    Matches are counted per block of `seq` values, and only the rows of blocks that overlap the page are ranked, so
+    the page costs the same at any depth. Entries without `seq` come first, in an order of their
+    content's hash, which deals them to blocks of their own.
     """
-    if offset + limit <= SHALLOW_OFFSET:
-        return logs.orderBy("seq", "source").offset(offset).limit(limit)
-    blocked = logs.withColumn("seq_block", F.call_function("div", F.col("seq"), F.lit(SEQ_BLOCK)))
-    counts = blocked.groupBy("seq_block").agg(F.count("*").alias("n"))
+    seq = F.col("seq")
+    mixed = F.when(seq.isNull(), F.xxhash64("source", "ts", "message", "raw") if "raw" in logs.columns else F.xxhash64("source", "ts", "message"))
+    block = F.coalesce(F.call_function("div", seq, F.lit(SEQ_BLOCK)), F.shiftright(mixed, 48) - (1 << 16))
+    blocked = logs.withColumns({"page_hash": mixed, "page_block": block})
+    counts = blocked.groupBy("page_block").agg(F.count("*").alias("n"))
     # One row per occupied block, never one per entry.
-    before = F.sum("n").over(W.orderBy("seq_block").rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum("n").over(W.orderBy("page_block").rowsBetween(W.unboundedPreceding, -1))
     counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
-    wanted = counts.where(
-        (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
-    )
-    rank = F.row_number().over(W.partitionBy("seq_block").orderBy("seq", "source")) + F.col("before")
-    page = blocked.join(wanted.drop("n"), "seq_block").withColumn("rank", rank)
-    page = page.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    return page.orderBy("seq", "source").limit(limit).drop("seq_block", "before", "rank")
+    wanted = counts.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+    order = ["seq", "page_hash", "source", "ts", "message"]
+    rank = F.row_number().over(W.partitionBy("page_block").orderBy(*order)) + F.col("before")
+    page = blocked.join(wanted.drop("n"), "page_block").withColumn("page_rank", rank)
+    page = page.where((F.col("page_rank") > offset) & (F.col("page_rank") <= offset + limit))
+    return page.orderBy("page_rank").limit(limit).drop("page_hash", "page_block", "before", "page_rank")
 
 
 def next_offset(limit: int, offset: int, returned: int) -> int | None:
@@ -100,8 +97,8 @@ def top_n(buckets: DataFrame, n: int, count: str = "count") -> DataFrame:
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first `n` rows of each group in a total order.
 
-    Every input task first cuts each group to its first `n` rows, which Spark does by itself up to
-    GROUP_LIMIT and a round per task does above it. What is left is merged over FAN_IN salts and
+    Every input task first cuts each group to its first `n` rows, which Spark does by itself up to the
+    limit in `session.SETTINGS`. What is left is merged over FAN_IN salts and
     then per group, so the last round sees at most FAN_IN * n rows of a group whatever its size.
     The salt is the number of the input task; any salt gives the same rows.
     """
@@ -111,8 +108,6 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
         return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
 
     salted = df.withColumn("salt", F.spark_partition_id())
-    if n > GROUP_LIMIT:
-        salted = cut(salted, [*keys, "salt"])
     salted = cut(salted.withColumn("salt", F.col("salt") % FAN_IN), [*keys, "salt"])
     return cut(salted.drop("salt"), keys)
 

@@ -7,7 +7,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.timeexpr import TimeRange
+from ..functions.timeexpr import TimeRange, UTC
 
 # Keys under which a raw JSON line names its trace.
 TRACE_PROBES = ("traceId", "trace_id")
@@ -20,7 +20,7 @@ def _all(parts: list[Column]) -> Column:
 def in_time_range(logs: DataFrame, tr: TimeRange | None) -> DataFrame:
     """Entries inside the range, both ends inclusive, and entries without a readable time.
 
-    A `dt` column, as the log table has, is bounded too, so that whole days are skipped.
+    A `dt` column, as the log table has, is bounded too, so that whole days are skipped. Days are UTC in any session.
     """
     if tr is None or (tr.start is None and tr.end is None):
         return logs
@@ -30,9 +30,9 @@ def in_time_range(logs: DataFrame, tr: TimeRange | None) -> DataFrame:
         day = F.col("dt")
         bounds = []
         if tr.start is not None:
-            bounds.append(day >= F.to_date(F.lit(tr.start)))
+            bounds.append(day >= F.lit(tr.start.astimezone(UTC).date()))
         if tr.end is not None:
-            bounds.append(day <= F.to_date(F.lit(tr.end)))
+            bounds.append(day <= F.lit(tr.end.astimezone(UTC).date()))
         kept = kept.where(day.isNull() | _all(bounds))
     return kept
 

@@ -16,6 +16,8 @@ SETTINGS = {
     # Joins on hot keys are split by their measured size, even when that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Ranks per group are cut inside each task up to this rank.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # Sessions of a hot key are merged inside each task before they are shuffled.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",

@@ -63,15 +63,21 @@ def write_log_table(entries: DataFrame, path: str, mode: str = "overwrite") -> N
     """Write entries as Parquet under source=/dt=, sorted by time inside each file.
 
     Entries read from files are staged first, which parses each line once, and get their final
-    `seq`. Rows are ranged by (source, day, time, seq), so a source or day with most of the rows
+    `seq`; the staged copy goes after the write. An append goes on behind the greatest `seq` of each source,
+    so `seq` stays unique over loads. `dt` is the UTC day in any session. Rows are ranged by (source, day, time, seq), so a source or day with most of the rows
     is spread over many tasks.
     """
     spark = entries.sparkSession
-    if "line_pos" in entries.columns:
-        staging = shared_dir(spark, "staging")
+    staging = shared_dir(spark, "staging") if "line_pos" in entries.columns else None
+    if staging:
         entries.write.parquet(staging)
         entries = with_final_seq(spark.read.parquet(staging))
-    dated = entries.withColumn("dt", F.to_date("ts"))
+    if mode == "append" and _folder(spark, path)[0].exists(_folder(spark, path)[1]):
+        last = read_log_table(spark, path).groupBy("source").agg((F.max("seq") + 1).alias("seq_base"))
+        seq = F.col("seq") + F.coalesce("seq_base", F.lit(0))
+        entries = entries.join(last, "source", "left").withColumn("seq", seq).drop("seq_base")
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("int")
+    dated = entries.withColumn("dt", F.date_add(F.lit("1970-01-01").cast("date"), day))
     (
         dated.repartitionByRange("source", "dt", "ts", "seq")
         .sortWithinPartitions("source", "dt", "ts", "seq")
@@ -79,6 +85,15 @@ def write_log_table(entries: DataFrame, path: str, mode: str = "overwrite") -> N
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
+    if staging:
+        files, folder = _folder(spark, staging)
+        files.delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:

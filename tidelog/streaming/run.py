@@ -17,15 +17,15 @@ def keep_model(model: DataFrame, path: str | None = None) -> DataFrame:
 def run_to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Process all input there is, append the output to a Parquet table and return the table.
 
-    Windows and sessions appear once the watermark has closed them. Progress, state and output
-    lie in the shared folder, so a lost executor or a restart loses and repeats nothing.
+    Windows and sessions appear once the watermark has closed them. Progress and state lie under the output, so
+    another run into the same path goes on where the last one ended and loses and repeats nothing.
     """
     spark = stream.sparkSession
     path = path or shared_dir(spark, "stream")
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
-        .option("checkpointLocation", shared_dir(spark, "progress"))
+        .option("checkpointLocation", f"{path.rstrip('/')}/_progress")
         .trigger(availableNow=True)
         .start(path)
     )
