@@ -276,6 +276,8 @@ QUERIES = {
     "c2_first_matches": (
         rows(lambda df: order.first_matches(pred.filter_logs(df, "ERROR", tr=RANGE), 100, 300)),
         rows_sql(f"level = 'ERROR' and {RANGE_SQL}", "order by seq limit 100 offset 300")),
+    "c2_first_matches_deep": (
+        rows(lambda df: order.first_matches(df, 100, 7_450)), rows_sql("true", "order by seq limit 100 offset 7450")),
     "c3_page_after": (
         rows(lambda df: order.page_after(df, order.encode_cursor(datetime(2024, 1, 15, tzinfo=timezone.utc), 0), 60)),
         rows_sql("ts < timestamp '2024-01-15'", "order by ts desc, seq desc limit 60")),
@@ -287,6 +289,8 @@ QUERIES = {
             from logs group by 1, 2 order by count desc, k, level limit 15""")),
     "c6_top_per_source": (rows(lambda df: order.top_per_source(df, 40)), rows_sql(
         "true", "qualify row_number() over (partition by source order by ts, seq) <= 40")),
+    "c6_top_per_source_large": (rows(lambda df: order.top_per_source(df, 1500)), rows_sql(
+        "true", "qualify row_number() over (partition by source order by ts, seq) <= 1500")),
     "c7_timeline": (
         lambda spark, sf_dir: order.timeline(logs(spark, sf_dir), RANGE).withColumn("ts", iso_text(F.col("ts"))),
         with_logs(f"select {ISO} as ts, source, level, service, message from logs where {RANGE_SQL}")),
