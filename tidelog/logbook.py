@@ -42,13 +42,31 @@ class LogBook:
     def list_sources(self) -> DataFrame:
         return src.list_sources(self.logs)
 
-    def health(self, *asked: str) -> DataFrame:
+    def health(self, *asked: str, files: DataFrame | None = None) -> DataFrame:
         configured = self.sources if self.sources is not None else list(asked)
-        return src.source_health(self.logs, configured, list(asked) or None)
+        return src.source_health(self.logs, configured, list(asked) or None, files)
 
     def schema(self, source: str, kind: str = "local") -> DataFrame:
         return src.describe_schema(self._of(source), source, kind)
 
+    def known_formats(self, source: str, kind: str = "local") -> DataFrame:
+        return src.known_formats(self._of(source), None, kind)
+
+    def latest(self, source, limit=100) -> DataFrame:
+        """Newest first; in a log table only the newest days are read."""
+        logs = self._of(source)
+        return ordering.latest(ordering.newest_days(logs, limit) if "dt" in logs.columns else logs, limit)
+
+    def page(self, source, cursor=None, limit=100, time_range=None) -> DataFrame:
+        """The page after the token of an entry, newest first; the first page without one."""
+        if cursor is None and time_range is None:
+            return self.latest(source, limit)
+        found = predicates.in_time_range(self._of(source), self._range(time_range))
+        return ordering.page_after(found, cursor, limit)
+
+    cursor = staticmethod(ordering.encode_cursor)
+    next_offset = staticmethod(ordering.next_offset)
+
     def search(self, source, query, time_range=None, limit=None, offset=0) -> DataFrame:
         found = predicates.search(self._of(source), query, self._range(time_range))
         return found if limit is None else ordering.first_matches(found, limit, offset)
@@ -81,6 +99,16 @@ class LogBook:
     def correlate(self, sources=None, time_range=None, trace_id=None, service=None, window="5m") -> DataFrame:
         return correlate.correlate(self.logs, sources, trace_id, service, window, self._range(time_range))
 
+    def correlate_entries(
+        self, sources=None, time_range=None, trace_id=None, service=None, window="5m", group_id=None
+    ) -> DataFrame:
+        """The entries behind `correlate`, of all its groups or of one."""
+        tr = self._range(time_range)
+        return correlate.correlate_entries(self.logs, sources, trace_id, service, window, tr, group_id)
+
+    def trace_groups(self, sources=None, time_range=None) -> DataFrame:
+        return correlate.trace_groups(self.logs, sources, self._range(time_range))
+
     def root_cause(self, service, time_range=None, symptom="", sources=None) -> root_cause.RootCause:
         return root_cause.root_cause(self.logs, service, self._range(time_range), symptom, sources)
 
@@ -89,6 +117,12 @@ class LogBook:
             self._of(source), self._range(baseline), self._range(comparison), query
         )
 
+    def compare_messages(self, source, baseline, comparison, query="") -> compare.MessageChanges:
+        """All messages that only one of the periods has."""
+        return compare.message_changes(
+            self._of(source), self._range(baseline), self._range(comparison), query
+        )
+
     def error_patterns(self, source, time_range=None, service=None, min_occurrences=5) -> DataFrame:
         return detect.detect_error_patterns(
             self._of(source), self._range(time_range), service, min_occurrences

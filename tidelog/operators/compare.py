@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.timeexpr import TimeRange
@@ -97,6 +99,19 @@ def disappeared_messages(counts: DataFrame) -> DataFrame:
     return found.select(F.col("key").alias("message"))
 
 
+class MessageChanges(NamedTuple):
+    new: DataFrame
+    disappeared: DataFrame
+
+
+def message_changes(
+    logs: DataFrame, baseline: TimeRange, comparison: TimeRange, query: str = ""
+) -> MessageChanges:
+    """Both lists of messages that only one of the periods has, from the same counts."""
+    counts = period_counts(logs, baseline, comparison, query)
+    return MessageChanges(new_messages(counts), disappeared_messages(counts))
+
+
 def _volume_text(change: Column, appeared: str, grew: str, shrank: str, stable: str) -> Column:
     size = two_decimals(F.abs(change))
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.timeexpr import TimeRange, micros, parse_window
@@ -14,7 +16,10 @@ from .reuse import never_null, whole_rows
 # Cells per block: a window over one block sees at most this many rows.
 CELLS_PER_BLOCK = 65_536
 
-GROUP_COLUMNS = ("correlation_type", "correlation_key", "score", "start_ts", "end_ts", "entries")
+# `group_id` of the trace group; time groups are numbered from 1.
+TRACE_GROUP = 0
+
+GROUP_COLUMNS = ("group_id", "correlation_type", "correlation_key", "score", "start_ts", "end_ts", "entries")
 
 
 def group_score(alarms: Column, entries: Column) -> Column:
@@ -33,6 +38,7 @@ def correlate_trace(
 def trace_groups(logs: DataFrame, sources=None, tr: TimeRange | None = None) -> DataFrame:
     """Every trace at once: entries, span of time, sources and services touched.
 
+    The sets are of distinct names, combined inside every task; two distinct counts would expand every row instead.
     Entries without a trace are left out first, else they would form one giant group.
     """
     traced = choose_sources(in_time_range(logs, tr), sources).where(F.col("trace_id").isNotNull())
@@ -40,8 +46,8 @@ def trace_groups(logs: DataFrame, sources=None, tr: TimeRange | None = None) ->
         F.count("*").alias("entries"),
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
-        F.count_distinct("source").alias("sources"),
-        F.count_distinct("service").alias("services"),
+        F.size(F.collect_set("source")).cast("bigint").alias("sources"),
+        F.size(F.collect_set("service")).cast("bigint").alias("services"),
     )
 
 
@@ -151,7 +157,7 @@ def correlate(
 ) -> DataFrame:
     """Trace group if a trace is given, time groups if a service is given or no trace is.
 
-    Highest score first; on ties the trace group, then the earlier group.
+    `group_id` names the groups in `correlate_entries`. Highest score first; on ties the trace group, then the earlier group.
     """
     chosen = choose_sources(logs, sources)
     parts = []
@@ -162,6 +168,7 @@ def correlate(
         ).where(F.col("entries") > 0)
         parts.append(
             group.select(
+                F.lit(TRACE_GROUP).cast("bigint").alias("group_id"),
                 F.lit("trace_id").alias("correlation_type"),
                 F.lit(trace_id).alias("correlation_key"),
                 F.lit(1.0).alias("score"),
@@ -177,6 +184,31 @@ def correlate(
     return groups.orderBy(F.col("score").desc(), trace_last, "start_ts")
 
 
+def correlate_entries(
+    logs: DataFrame,
+    sources=None,
+    trace_id: str | None = None,
+    service: str | None = None,
+    window: str = "5m",
+    tr: TimeRange | None = None,
+    group_id: int | None = None,
+) -> DataFrame:
+    """The entries of the groups of `correlate` with their `group_id`, or those of one group.
+
+    An entry of the trace may be in a time group as well and then has a row for each.
+    """
+    chosen = choose_sources(logs, sources)
+    parts = []
+    if trace_id and group_id in (None, TRACE_GROUP):
+        traced = filter_logs(chosen, trace_id=trace_id, tr=tr)
+        parts.append(traced.withColumn("group_id", F.lit(TRACE_GROUP).cast("bigint")))
+    if (service or not trace_id) and group_id != TRACE_GROUP:
+        parts.append(correlated_entries(chosen, window, service, tr))
+    nothing = chosen.where(F.lit(False)).withColumn("group_id", F.lit(TRACE_GROUP).cast("bigint"))
+    entries = reduce(DataFrame.unionByName, parts or [nothing])
+    return entries if group_id is None else entries.where(F.col("group_id") == group_id)
+
+
 def correlate_total(
     logs: DataFrame,
     sources=None,

@@ -93,7 +93,7 @@ def metric_series(
     field: str = "latency",
     tr: TimeRange | None = None,
 ) -> DataFrame:
-    """Value per bucket, and per key of `by`. Volume is filled with zeros, the others skip gaps."""
+    """Value per bucket that has entries, and per key of `by`."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}: {metric!r}")
     width = parse_width(bucket)
@@ -107,25 +107,45 @@ def metric_series(
         value = F.count("*").cast("double")
     start = never_null(epoch_bucket(F.col("ts"), width), EPOCH).alias(BUCKET)
     series = timed.groupBy(*[group_key(n).alias(n) for n in by], start).agg(value.alias("value"))
-    series = whole_rows(series)
-    return fill_series(series, micros(width), list(by)) if metric == "log_volume" else series
+    return whole_rows(series)
 
 
-def fill_series(series: DataFrame, step: int, by: list[str]) -> DataFrame:
-    """Zero rows for the buckets between the first and last of each series that have no entry.
+def series_model(series: DataFrame, by: list[str], step: int | None) -> DataFrame:
+    """Mean and sample standard deviation of each series, with its first and last bucket.
+
+    Given a bucket width, the buckets between them that have no entry count as zeros. They enter by their number,
+    which the span tells, and are not written out: a stray time far from the others costs nothing.
+    """
+    at = F.unix_micros(BUCKET)
+    found = series.groupBy(*by).agg(
+        F.count("value").alias("seen"),
+        F.avg("value").alias("seen_mean"),
+        F.var_pop("value").alias("seen_var"),
+        F.min(at).alias("low"),
+        F.max(at).alias("high"),
+    )
+    seen = F.col("seen")
+    n = seen if step is None else F.call_function("div", F.col("high") - F.col("low"), F.lit(step)) + 1
+    found = found.withColumn("n", n).withColumn("mean", F.col("seen_mean") * seen / F.nullif("n", F.lit(0)))
+    # Squared distances from the mean: of the seen values, and of the zeros.
+    off = F.col("seen_mean") - F.col("mean")
+    squares = seen * (F.col("seen_var") + off * off) + (F.col("n") - seen) * F.col("mean") * F.col("mean")
+    stddev = F.when(F.col("n") > 1, F.sqrt(squares / F.nullif(F.col("n") - 1, F.lit(0))))
+    return found.select(*by, "mean", stddev.alias("stddev"), "low", "high")
+
+
+def empty_buckets(series: DataFrame, spans: DataFrame, step: int) -> DataFrame:
+    """Zero rows, with the columns of `spans`, for its buckets from `low` to `high` that the series has not.
 
     A long span is written out in runs that are spread over the tasks, never by one row alone.
     """
-    spans = series.groupBy(*by).agg(
-        F.min(F.unix_micros(BUCKET)).alias("low"), F.max(F.unix_micros(BUCKET)).alias("high")
-    ).where(F.col("low").isNotNull())
-    runs = spans.select(
-        *by, "high", F.explode(F.sequence("low", "high", F.lit(step * FILL_RUN))).alias("run")
-    ).repartition(*by, "run")
+    keys = [c for c in spans.columns if c not in ("low", "high", "mean", "stddev")]
+    runs = spans.withColumn("run", F.explode(F.sequence("low", "high", F.lit(step * FILL_RUN))))
+    runs = runs.repartition(*keys, "run")
     end = F.least(F.col("run") + F.lit(step * (FILL_RUN - 1)), F.col("high"))
-    grid = runs.select(*by, F.explode(F.sequence("run", end, F.lit(step))).alias("at"))
-    grid = grid.select(*by, F.timestamp_micros("at").alias(BUCKET))
-    return grid.join(series, [*by, BUCKET], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    grid = runs.withColumn("at", F.explode(F.sequence("run", end, F.lit(step))))
+    grid = grid.select(*keys, F.timestamp_micros("at").alias(BUCKET), F.lit(0.0).alias("value"), "mean", "stddev")
+    return grid.join(series, [*keys, BUCKET], "left_anti")
 
 
 def anomaly_model(
@@ -137,13 +157,13 @@ def anomaly_model(
     tr: TimeRange | None = None,
 ) -> DataFrame:
     """Mean and sample standard deviation of the series, one row per key of `by`."""
-    return _model(metric_series(logs, metric, bucket, by, field, tr), list(by))
+    series = metric_series(logs, metric, bucket, by, field, tr)
+    return series_model(series, list(by), zero_step(metric, bucket)).drop("low", "high")
 
 
-def _model(series: DataFrame, by: list[str]) -> DataFrame:
-    return series.groupBy(*by).agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev")
-    )
+def zero_step(metric: str, bucket: str) -> int | None:
+    """Bucket width of a metric in which a bucket without entries is a zero; None where it is a gap."""
+    return micros(parse_width(bucket)) if metric == "log_volume" else None
 
 
 def deviation_score(actual: Column, mean: Column, stddev: Column, sensitivity: str) -> Column:
@@ -177,12 +197,19 @@ def find_anomalies(
 ) -> DataFrame:
     """Buckets whose value is further from the mean than the sensitivity allows."""
     series = metric_series(logs, metric, bucket, by, field, tr)
-    model = _model(series, list(by))
-    if by:
-        points = series.join(model, list(by))
+    keys, step = list(by), zero_step(metric, bucket)
+    model = series_model(series, keys, step)
+    if keys:
+        points = series.join(model.drop("low", "high"), keys)
     else:
         one = model.select(F.struct("mean", "stddev").alias("m")).scalar()
         points = series.withColumn("m", one).select(
             BUCKET, "value", F.col("m.mean").alias("mean"), F.col("m.stddev").alias("stddev")
         )
+    points = points.select(*keys, BUCKET, "value", "mean", "stddev")
+    if step is not None:
+        # Zeros are written out only where a zero is unusual. That needs a mean above 1.5 standard deviations, so
+        # by Cantelli's inequality fewer than one bucket in three is a zero there: the zeros stay fewer than the rows.
+        zero = deviation_score(F.lit(0.0), F.col("mean"), F.col("stddev"), sensitivity)
+        points = points.unionByName(empty_buckets(series, model.where(zero > 1), step))
     return score_points(points, sensitivity)

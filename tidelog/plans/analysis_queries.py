@@ -76,7 +76,12 @@ def e3_group_score(spark, sf_dir):
 
 def e4_correlate(spark, sf_dir):
     found = correlate.correlate(logs(spark, sf_dir), ["src0", "src1"], "trace-41", "svc2", "30m")
-    return times(found, "start_ts", "end_ts")
+    return times(found.drop("group_id"), "start_ts", "end_ts")
+
+
+def e4_correlate_entries(spark, sf_dir):
+    found = correlate.correlate_entries(logs(spark, sf_dir), ["src0", "src1"], "trace-41", "svc2", "30m")
+    return found.select("group_id", "source", "seq")
 
 
 def e4_correlate_total(spark, sf_dir):
@@ -322,6 +327,10 @@ QUERIES = {
           score, {iso_sql('start_ts')} as start_ts, {iso_sql('end_ts')} as end_ts, entries from groups
         union all select 'trace_id', 'trace-41', 1.0, {iso_sql('min(ts)')}, {iso_sql('max(ts)')}, count(*)
         from logs where trace_id = 'trace-41' and source in ('src0', 'src1')""")),
+    "e4_correlate_entries": (e4_correlate_entries, islands_sql(
+        1800, "service = 'svc2' and source in ('src0', 'src1')", """
+        select cast(g as bigint) as group_id, source, seq from labelled
+        union all select 0, source, seq from logs where trace_id = 'trace-41' and source in ('src0', 'src1')""")),
     "e4_correlate_total": (e4_correlate_total, with_logs(f"""
         select count(*) + count(*) filter (trace_id = 'trace-41') as total_entries
         from logs where source in ('src0', 'src1') and {RANGE_SQL}""")),

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timestamps import iso_text
 from ..schema import SEARCH_SEPARATOR, conform
 from ..session import configure
+from ..sources.tables import folder_of
 
 # The files hold times without a zone; read as TIMESTAMP they are the same instants in UTC.
 EVENTS_SCHEMA = (
@@ -27,7 +26,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream; a table of one file is found by its name."""
     reader = configure(spark).readStream.schema(EVENTS_SCHEMA)
     path = f"{sf_dir}/events.parquet"
-    if os.path.isfile(path):
+    files, place = folder_of(spark, path)
+    if files.getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return reader.parquet(path)
 

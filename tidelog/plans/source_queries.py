@@ -324,6 +324,23 @@ def a16_describe_schema(spark, sf_dir):
     return src.describe_schema(logs(spark, sf_dir), "src1")
 
 
+def a15_source_health_files(spark, sf_dir):
+    """Two sources of landed files: one of all document lines, one of a blank file and an empty folder."""
+    full, blank = shared_dir(spark, "lines"), shared_dir(spark, "lines")
+    documents = table(spark, sf_dir, "documents")
+    documents.select("text").write.text(full)
+    documents.groupBy().agg(F.lit(" ").alias("value")).write.text(blank)
+    paths = {"docs": f"{full}/part-*", "blank": f"{blank}/part-*", "none": f"{blank}/nothing-*"}
+    files = src.union_sources({s: src.log_files(spark, p, s) for s, p in paths.items()})
+    entries = src.union_sources({s: src.plain_lines(src.read_log_lines(spark, p, s)) for s, p in paths.items()})
+    found = src.source_health(entries, list(paths), [*paths, "other"], files)
+    return found.select("source", "status", "entries", "unreadable")
+
+
+def a16_known_formats(spark, sf_dir):
+    return src.known_formats(src.parse_json_lines(json_lines(spark, sf_dir)), "src1")
+
+
 def a16_sample_entry(spark, sf_dir):
     return entry_columns(src.sample_entry(logs(spark, sf_dir), "src1"), *field_columns())
 
@@ -400,6 +417,12 @@ QUERIES = {
         union all select 'k', 'number', false, count(k) from logs where source = 'src1'
         union all select 'value', 'number', false, count(value) from logs where source = 'src1'
         union all select 'event_type', 'string', false, count(event_type) from logs where source = 'src1'""")),
+    "a15_source_health_files": (a15_source_health_files, "with " + LINES_SQL + """
+        select 'docs' as source, 'healthy' as status, count(*) as entries, 0::bigint as unreadable from lines where line <> ''
+        union all select 'blank', 'healthy', 0, 0 union all select 'none', 'degraded', 0, 0
+        union all select 'other', 'unknown', 0, null"""),
+    "a16_known_formats": (a16_known_formats, with_logs("""
+        select 'json' as format, count(*) as entries from logs where source = 'src1' union all select 'regex', 0""")),
     "a16_sample_entry": (a16_sample_entry, with_logs(f"""
         select {ENTRY_SQL}, {FIELD_SQL} from (select * from logs where source = 'src1' order by seq limit 1) l""")),
 }

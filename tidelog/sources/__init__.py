@@ -2,6 +2,7 @@ from .buckets import normalize_buckets
 from .catalog import (
     choose_sources,
     describe_schema,
+    known_formats,
     list_sources,
     sample_entry,
     source_health,
@@ -15,6 +16,7 @@ from .exports import (
 )
 from .lines import (
     LineOptions,
+    log_files,
     parse_json_lines,
     parse_lines,
     parse_regex_lines,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import number
+from ..functions.values import bind, last_wins, number
+from .documents import json_object
 
 # Envelope fields each kind of source always declares (name, type, required).
 ENVELOPES = {
@@ -83,11 +84,12 @@ def list_sources(logs: DataFrame) -> DataFrame:
     )
 
 
-def source_health(logs: DataFrame, configured, asked=None) -> DataFrame:
+def source_health(logs: DataFrame, configured, asked=None, files: DataFrame | None = None) -> DataFrame:
     """Freshness per source: healthy with entries, degraded without, unknown if not configured.
 
     `files` counts distinct files where the frame still knows them, in two steps so that one
-    source with most of the rows is pre-aggregated.
+    source with most of the rows is pre-aggregated. Given the `log_files` of the sources, a source is healthy if it
+    has files and all could be read, blank ones too, and `unreadable` counts the others.
     """
     spark = logs.sparkSession
     ids = [(s, s in set(configured)) for s in (asked if asked is not None else configured)]
@@ -99,9 +101,9 @@ def source_health(logs: DataFrame, configured, asked=None) -> DataFrame:
         F.count_if(F.col("ts").isNull()).alias("untimed"),
         F.max("ts").alias("newest_ts"),
     )
-    files = F.count("file_path") if has_files else F.lit(None).cast("bigint")
+    named = F.count("file_path") if has_files else F.lit(None).cast("bigint")
     profile = per_file.groupBy("source").agg(
-        files.alias("files"),
+        named.alias("files"),
         F.sum("entries").alias("entries"),
         F.sum("untimed").alias("untimed"),
         F.max("newest_ts").alias("newest_ts"),
@@ -111,6 +113,13 @@ def source_health(logs: DataFrame, configured, asked=None) -> DataFrame:
         F.when(~F.col("configured"), "unknown").when(entries > 0, "healthy").otherwise("degraded")
     )
     known = F.col("configured")
+    if files is not None:
+        listed = files.groupBy("source").agg(
+            F.count("*").alias("listed"), F.count_if(~F.col("readable")).alias("unreadable")
+        )
+        profile = profile.join(listed, "source", "full").withColumn("files", F.coalesce("listed", F.lit(0)))
+        whole = (F.col("files") > 0) & (F.col("unreadable") == 0)
+        status = F.when(~known, "unknown").when(whole, "healthy").otherwise("degraded")
     return wanted.join(profile, "source", "left").select(
         "source",
         status.alias("status"),
@@ -118,6 +127,7 @@ def source_health(logs: DataFrame, configured, asked=None) -> DataFrame:
         F.when(known, entries).otherwise(F.lit(0)).alias("entries"),
         F.when(known, F.col("untimed") / F.col("entries")).alias("untimed_share"),
         F.when(known, F.col("newest_ts")).alias("newest_ts"),
+        *([] if files is None else [F.when(known, F.coalesce("unreadable", F.lit(0))).alias("unreadable")]),
     )
 
 
@@ -125,29 +135,70 @@ def _text_type(all_numbers: Column, all_booleans: Column) -> Column:
     return F.when(all_booleans, "boolean").when(all_numbers, "number").otherwise("string")
 
 
+def _json_kind(value: Column) -> Column:
+    """Kind of a variant: string, object, array, or null for what its text tells as well."""
+    name = F.schema_of_variant(value)
+    return (
+        F.when(name == "STRING", "string")
+        .when(name.startswith("OBJECT"), "object")
+        .when(name.startswith("ARRAY"), "array")
+    )
+
+
 def describe_schema(logs: DataFrame, source: str | None = None, kind: str = "local") -> DataFrame:
-    """Declared envelope fields, then the keys found in `fields` with type and coverage."""
+    """Declared envelope fields, then the keys found in `fields` with type and coverage.
+
+    A key whose values are all JSON strings, arrays or objects in the lines as read has that type. Else the texts
+    tell: all numbers, all booleans, or strings.
+    """
     spark = logs.sparkSession
     declared = spark.createDataFrame(
         [(n, t, r) for n, t, r in ENVELOPES[kind]], "name string, type string, required boolean"
     ).withColumn("entries", F.lit(None).cast("bigint"))
     entries = logs if source is None else logs.where(F.col("source") == source)
-    pairs = entries.select(F.explode("fields").alias("name", "text"))
+    read = json_object(F.col("raw")) if "raw" in logs.columns else F.lit(None).cast("map<string,variant>")
+
+    def typed(values):
+        return F.transform(
+            F.map_entries("fields"),
+            lambda e: F.struct(e["key"].alias("name"), e["value"].alias("text"), _json_kind(values[e["key"]]).alias("kind")),
+        )
+
+    values = F.coalesce(bind(read, last_wins), F.create_map().cast("map<string,variant>"))
+    pairs = entries.select(F.explode(bind(values, typed)).alias("pair")).select("pair.*")
     found = pairs.groupBy("name").agg(
         F.count("*").alias("entries"),
+        F.count("kind").alias("kinds"),
+        F.min("kind").alias("lowest"),
+        F.max("kind").alias("highest"),
         F.min(number(F.col("text")).isNotNull()).alias("all_numbers"),
         F.min(F.lower("text").isin("true", "false")).alias("all_booleans"),
     )
     taken = [n for n, _, _ in ENVELOPES[kind]]
+    alike = (F.col("kinds") == F.col("entries")) & (F.col("lowest") == F.col("highest"))
     found = found.where(~F.col("name").isin(*taken)).select(
         "name",
-        _text_type(F.col("all_numbers"), F.col("all_booleans")).alias("type"),
+        F.when(alike, F.col("lowest")).otherwise(_text_type(F.col("all_numbers"), F.col("all_booleans"))).alias("type"),
         F.lit(False).alias("required"),
         "entries",
     )
     return declared.unionByName(found)
 
 
+def known_formats(logs: DataFrame, source: str | None = None, kind: str = "local") -> DataFrame:
+    """The line formats a kind of source is known to hold, each with the number of entries read in it.
+
+    Entries whose line is a JSON object count for `json`, other parsed lines for the second format of the kind.
+    """
+    spark = logs.sparkSession
+    formats = spark.createDataFrame([(f,) for f in KNOWN_FORMATS[kind]], "format string")
+    entries = logs if source is None else logs.where(F.col("source") == source)
+    other = F.lit(KNOWN_FORMATS[kind][-1])
+    of = F.when(json_object(F.col("raw")).isNotNull(), "json").otherwise(other)
+    seen = entries.where(F.col("raw").isNotNull()).groupBy(of.alias("format")).agg(F.count("*").alias("entries"))
+    return formats.join(seen, "format", "left").select("format", F.coalesce("entries", F.lit(0)).alias("entries"))
+
+
 def sample_entry(logs: DataFrame, source: str | None = None) -> DataFrame:
     """One entry of the source, the first in ingest order."""
     entries = logs if source is None else logs.where(F.col("source") == source)

@@ -96,6 +96,31 @@ def read_log_lines(spark: SparkSession, paths, source: str) -> DataFrame:
     )
 
 
+def log_files(spark: SparkSession, paths, source: str) -> DataFrame:
+    """(source, file_path, readable) of all files matching `paths` that have bytes, each once.
+
+    One that gives no line at all, not even a blank one, could not be read. Only names are listed; the lines are
+    counted inside the tasks. Files without any bytes are not listed, as no scan opens them.
+    """
+    patterns = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+    files = spark.createDataFrame([], "file_path string, lines bigint")
+    for pattern in patterns:
+        found = _files_of(spark, pattern)
+        if found is None:
+            continue
+        root, spans, _ = pattern.partition("**")
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", bool(spans))
+        listed = reader.load(root if spans else pattern).select(F.col("_metadata.file_path").alias("file_path"))
+        if spans:
+            listed = listed.where(F.col("file_path").rlike(_path_regex(pattern)))
+        counts = found.groupBy("file_path").agg(F.count("*").alias("lines"))
+        files = files.unionByName(listed.join(counts, "file_path", "left"))
+    readable = F.coalesce(F.max("lines"), F.lit(0)) > 0
+    return files.groupBy("file_path").agg(readable.alias("readable")).select(
+        F.lit(source).alias("source"), "file_path", "readable"
+    )
+
+
 def json_document(value: Column) -> Column:
     """Document of a line that is a JSON object, else null."""
     return docs.document(docs.json_object(value))

@@ -72,7 +72,8 @@ def write_log_table(entries: DataFrame, path: str, mode: str = "overwrite") -> N
     if staging:
         entries.write.parquet(staging)
         entries = with_final_seq(spark.read.parquet(staging))
-    if mode == "append" and _folder(spark, path)[0].exists(_folder(spark, path)[1]):
+    files, folder = folder_of(spark, path)
+    if mode == "append" and files.exists(folder):
         last = read_log_table(spark, path).groupBy("source").agg((F.max("seq") + 1).alias("seq_base"))
         seq = F.col("seq") + F.coalesce("seq_base", F.lit(0))
         entries = entries.join(last, "source", "left").withColumn("seq", seq).drop("seq_base")
@@ -86,11 +87,11 @@ def write_log_table(entries: DataFrame, path: str, mode: str = "overwrite") -> N
         .parquet(path)
     )
     if staging:
-        files, folder = _folder(spark, staging)
+        files, folder = folder_of(spark, staging)
         files.delete(folder, True)
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
     """The file system of a path, and the path in it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
