@@ -313,6 +313,28 @@ def a14_list_sources(spark, sf_dir):
                         iso_text(F.col("last_ts")).alias("last_ts"))
 
 
+def a4_mixed_lines(spark, sf_dir):
+    """One source of JSON, regex, JSON array, broken JSON and blank lines in turn, read from files."""
+    folder = shared_dir(spark, "lines")
+    doc = F.struct(F.col("ts_raw").alias("timestamp"), F.lower("level").alias("level"), "message", "service")
+    fitting = F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), "level", F.lit("] "),
+        F.coalesce("service", F.lit("none")), F.lit(": "), "message",
+    )
+    kind = F.col("seq") % 5
+    line = (
+        F.when(kind == 0, F.to_json(doc)).when(kind == 1, fitting)
+        .when(kind == 2, F.concat(F.lit('["'), "message", F.lit('"]')))
+        .when(kind == 3, F.concat(F.lit('{"message": "'), "message"))
+        .otherwise(F.lit("  "))
+    )
+    logs(spark, sf_dir).select(line.alias("value")).write.text(folder)
+    found = src.parse_lines(src.read_log_lines(spark, f"{folder}/part-*", "mixed"), pattern=LINE_REGEX)
+    return found.groupBy("level", "service", "message", F.col("ts").isNull().alias("untimed")).agg(
+        F.count("*").alias("n")
+    )
+
+
 def a15_source_health(spark, sf_dir):
     configured = ["src0", "src1", "src2", "src9"]
     found = src.source_health(logs(spark, sf_dir), configured, [*configured, "other"])
@@ -363,6 +385,13 @@ QUERIES = {
     "a4_plain_lines": (a4_plain_lines, "with " + LINES_SQL + """
         select 'UNKNOWN' as level, true as untimed, line as message, count(*) as n
         from lines where line <> '' group by line"""),
+    "a4_mixed_lines": (a4_mixed_lines, with_logs("""
+        select level, service, message, untimed, count(*) as n from (
+          select level, service, message, false as untimed from logs where seq % 5 = 0
+          union all select level, coalesce(service, 'none'), message, false from logs where seq % 5 = 1
+          union all select 'UNKNOWN', null, '["' || message || '"]', true from logs where seq % 5 = 2
+          union all select 'UNKNOWN', null, '{"message": "' || message, true from logs where seq % 5 = 3) m
+        group by all""")),
     "a5_to_entry": (a5_to_entry, with_logs(f"""
         select seq, {ISO} as ts, level, case when seq % 2 = 0 then message else 'msg ' || message end as message,
           service, host, case when seq % 3 > 0 then trace_id end as trace_id, k, 'true' as flag,
