@@ -68,3 +68,14 @@ def test_analysis(book):
     assert (got.baseline_total, got.comparison_total) == (1, 2)
     assert book.error_patterns("app", min_occurrences=2).first().pattern == "DB failed"
     assert book.anomalies("app", bucket="1m", sensitivity="high").select(F.count("*")).first()[0] >= 0
+
+
+def test_usual_ranges_of_stores(entries):
+    stamps = ["09:00", "10:00", "10:27"]
+    logs = entries([{"timestamp": f"2026-05-24T{t}:00Z", "message": t} for t in stamps], "web")
+    plain, remote = LogBook(logs, reference=NOW), LogBook(logs, reference=NOW, stores={"web": "loki"})
+    assert messages(plain.search("web", "")) == stamps
+    assert messages(remote.search("web", "")) == stamps[1:] and messages(remote.filter("web")) == stamps[1:]
+    assert messages(remote.search("web", "", (None, None))) == stamps
+    assert messages(remote.tail("web")) == stamps[2:] and messages(plain.tail("web")) == stamps
+    assert remote.aggregate("web").first()["count"] == 2

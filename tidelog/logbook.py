@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from . import sources as src
-from .functions.timeexpr import TimeRange
+from .functions.timeexpr import TimeRange, default_range
 from .operators import aggregate, compare, correlate, detect, ordering, predicates, root_cause, summary
 
 
@@ -19,11 +19,15 @@ class LogBook:
     """Logs of the configured sources.
 
     `sources` lists the ids that may be asked for; left out, any id may be. Time ranges are given
-    as (from, to) texts, either of them None, and are resolved against `reference` or now.
+    as (from, to) texts, either of them None, and are resolved against `reference` or now. `stores` says which
+    store a source came from; searches, filters, aggregates and tails without a range then take that store's own.
     """
 
-    def __init__(self, logs: DataFrame, sources=None, reference: datetime | None = None) -> None:
+    def __init__(
+        self, logs: DataFrame, sources=None, reference: datetime | None = None, stores: dict | None = None
+    ) -> None:
         self.logs = logs
+        self.stores = dict(stores or {})
         self.sources = list(sources) if sources is not None else None
         self.reference = reference
 
@@ -32,6 +36,11 @@ class LogBook:
             return time_range
         return TimeRange.of(*time_range, reference=self.reference)
 
+    def _usual(self, source, time_range, operation: str) -> TimeRange | None:
+        if time_range is None and source in self.stores:
+            return default_range(self.stores[source], operation, self.reference)
+        return self._range(time_range)
+
     def _of(self, source: str | None) -> DataFrame:
         if source is None:
             return self.logs
@@ -68,7 +77,7 @@ class LogBook:
     next_offset = staticmethod(ordering.next_offset)
 
     def search(self, source, query, time_range=None, limit=None, offset=0) -> DataFrame:
-        found = predicates.search(self._of(source), query, self._range(time_range))
+        found = predicates.search(self._of(source), query, self._usual(source, time_range, "search"))
         return found if limit is None else ordering.first_matches(found, limit, offset)
 
     def filter(
@@ -76,18 +85,20 @@ class LogBook:
         time_range=None, limit=None, offset=0,
     ) -> DataFrame:
         found = predicates.filter_logs(
-            self._of(source), level, service, host, trace_id, custom_fields, self._range(time_range)
+            self._of(source), level, service, host, trace_id, custom_fields, self._usual(source, time_range, "filter")
         )
         return found if limit is None else ordering.first_matches(found, limit, offset)
 
     def tail(self, source, lines=50, filter_query=None) -> DataFrame:
-        return ordering.tail(self._of(source), lines, filter_query)
+        logs = predicates.in_time_range(self._of(source), self._usual(source, None, "tail"))
+        return ordering.tail(logs, lines, filter_query)
 
     def aggregate(
         self, source, group_by=(), metric="count", field=None, time_bucket=None, time_range=None, limit=None
     ) -> DataFrame:
         return aggregate.aggregate(
-            self._of(source), group_by, metric, field, time_bucket, limit, self._range(time_range)
+            self._of(source), group_by, metric, field, time_bucket, limit,
+            self._usual(source, time_range, "aggregate"),
         )
 
     def total(self, source, time_range=None) -> DataFrame:

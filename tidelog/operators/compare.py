@@ -188,6 +188,7 @@ def compare_periods(
         F.round(rate_c, 4).alias("comparison_rate"),
         F.round(rate_c - rate_b, 4).alias("rate_change"),
     )
+    # The sentences of the summary.
     volume = _volume_text(
         F.col("total_change"),
         "Log volume went from zero to present.",

@@ -122,6 +122,7 @@ def _as_causes(best: DataFrame) -> DataFrame:
             .otherwise(warnings)
         )
 
+    # The sentences of causes and evidence.
     cause = pick(
         F.concat(F.lit("Errors in upstream service '"), key, F.lit("'")),
         F.concat(F.lit("Recurring error: "), F.substring(key, 1, CAUSE_LENGTH)),

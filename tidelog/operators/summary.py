@@ -73,6 +73,7 @@ def summarize(logs: DataFrame, query: str = "", tr: TimeRange | None = None) ->
 
     found = F.coalesce(F.col("count"), F.lit(0))
     first = F.try_element_at("top", F.lit(1))
+    # The parts of the sentence.
     sentence = F.concat(
         F.lit("Analyzed "), found.cast("string"), F.lit(" log entries. Levels — "), spelled("levels"),
         F.lit(". Services — "), spelled("services"), F.lit(". Top message: '"), first["key"],
