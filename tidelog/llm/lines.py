@@ -6,7 +6,7 @@ behind a mark is that mark's minimum: two lines agree there with the probability
 BANDS bands of ROWS marks each bring lines with one equal band together: 96% of those with a similarity of 0.8 in
 their runs, 99.7% at 0.875, which is what a similarity of 0.8 in shingles comes to when words differ. In each such bucket,
 lines are compared with its least line, exactly, by the Jaccard similarity of all their shingles of SHINGLE
-characters. Links of 0.8 or more make components, by rounds of star operations in tables, and every component keeps its
+characters; those unlike it are split by further minima and compared among themselves. Links of 0.8 or more make components, by rounds of star operations in tables, and every component keeps its
 first line.
 
 Lines are named by a 64-bit hash, so that texts move twice only: to be compared, and to be put together again.
@@ -14,10 +14,10 @@ Lines are named by a 64-bit hash, so that texts move twice only: to be compared,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, staged, unused
+from tidelog.llm.common import components, discard, staged, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,12 +51,13 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return banded.select("h", F.xxhash64("band", *mins).alias("key"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): each line with the least line of its buckets; (a, a) for a line that repeats."""
-    bucket = Window.partitionBy("key")
-    rows = band_keys(lines).select("h", F.count("*").over(bucket).alias("n"), F.min("h").over(bucket).alias("a"))
-    # A bucket of one line that repeats gives (a, a).
-    return rows.where("n > 1").select("a", F.col("h").alias("b")).distinct()
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, a, b, n) of bucket rows (key, h): each line b of a shared bucket, how often it is there, and the bucket's least line a.
+
+    Minima and copies are combined inside tasks, and the join's one row per bucket lets a hot bucket be split.
+    """
+    least = keys.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return keys.join(least, "key").groupBy("key", "a", F.col("h").alias("b")).agg(F.count("*").alias("n"))
 
 
 def every_shingle(line) -> F.Column:
@@ -65,10 +66,8 @@ def every_shingle(line) -> F.Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = staged(lines.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "lines")
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines (h, line) whose exact Jaccard similarity reaches the threshold."""
     a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
     b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     joint = pairs.join(a, "a").join(b, "b")
@@ -78,16 +77,41 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     alike = F.transform(
         sets, lambda p: 1000 * F.size(F.array_intersect(p.x, p.y)) >= share * F.size(F.array_union(p.x, p.y))
     )
-    return joint.where(F.get(alike, F.lit(0))).select("a", "b")
+    return joint.where(F.get(alike, F.lit(0))).select("a", "b").distinct()
+
+
+def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the lines of buckets (key, a, b): each line against its bucket's least one.
+
+    Lines that do not resemble it are split further by one more minimum, of all their shingles, and compared with the
+    least line of their part, and so on while a round finds links and a part has two lines.
+    """
+    met, found, turn = met.where("a <> b"), None, 0
+    while True:
+        good = staged(verified(met.select("a", "b").distinct(), texts, similarity), "links")
+        found = good if found is None else found.unionByName(good)
+        if good.isEmpty():
+            return found
+        turn += 1
+        left = met.join(good, ["a", "b"], "left_anti").select("key", F.col("b").alias("h"))
+        lowest = F.array_min(F.transform(every_shingle(F.col("line")), lambda s: F.xxhash64(s, F.lit(turn))))
+        parts = left.join(texts, "h").select(F.xxhash64("key", lowest).alias("key"), "h")
+        met = staged(buckets(parts).where("a <> b").select("key", "a", "b"), "parts")
+        if met.isEmpty():
+            return found
 
 
 def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
     """(id, k, gone): the positions of the lines to remove from documents (id, k, text)."""
     lines = lines_of(docs)
-    pairs = staged(candidates(lines), "pairs")
-    linked = components(verified(pairs.where("a <> b"), lines, similarity), "lines")
+    bands = staged(band_keys(lines), "bands")
+    met = staged(buckets(bands), "buckets")
+    discard(bands)
+    wanted = met.where("a <> b").select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = staged(lines.select("h", "line").join(wanted, "h", "left_semi").distinct(), "lines")
+    linked = components(links(met, texts, similarity), "lines")
     # Lines that repeat without a link are components of their own.
-    again = pairs.where("a = b").select(F.col("a").alias("node"))
+    again = met.where("n > 1").select(F.col("b").alias("node")).distinct()
     alone = again.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
     named = linked.unionByName(alone).select(F.col("node").alias("h"), "component")
     places = staged(lines.select("id", "k", "pos", "h").join(named, "h").drop("h"), "places")
