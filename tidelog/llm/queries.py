@@ -50,6 +50,24 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", digest("kept").alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') as w from documents),
+g as (
+  select doc_id, i, md5(list_aggregate(w[i : i + 34], 'string_agg', ' ')) as g
+  from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+r as (select doc_id, i from g where g in (select g from g group by g having count(*) > 1)),
+h as (select distinct doc_id, unnest(range(i, i + 35)) as p from r),
+k as (
+  select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) anti join h using (doc_id, p)
+  group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.train(docs.where(langid.for_training()))
@@ -154,7 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
 }
 
-ORACLES = {"op6_topk": OP6_SQL, "op7_decontaminate": OP7_SQL}
+ORACLES = {"op4_substrings": OP4_SQL, "op6_topk": OP6_SQL, "op7_decontaminate": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
