@@ -127,6 +127,13 @@ def test_lines(docs):
     assert lines.dedupe_lines(docs()).count() == 0
 
 
+def test_lines_of_the_same_runs_in_other_orders(docs):
+    w = words(12, 6)
+    p, q, near = " ".join(w), " ".join(w[::-1]), " ".join([*w[::-1], "z"])
+    rows = lines.dedupe_lines(docs(p, q, q, p, near)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [p, q, "", "", ""]
+
+
 def test_components(spark):
     prepare(spark)
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 200), (None, 5)]

@@ -84,14 +84,13 @@ def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) among the lines of buckets (key, a, b): each line against its bucket's least one.
 
     Lines that do not resemble it are split further by one more minimum, of all their shingles, and compared with the
-    least line of their part, and so on while a round finds links and a part has two lines.
+    least line of their part, and so on while a part has two lines. Every round leaves out the least lines, and lines less
+    alike than the threshold part from each other, so the rounds grow with the logarithm of the largest bucket.
     """
     met, found, turn = met.where("a <> b"), None, 0
     while True:
         good = staged(verified(met.select("a", "b").distinct(), texts, similarity), "links")
         found = good if found is None else found.unionByName(good)
-        if good.isEmpty():
-            return found
         turn += 1
         left = met.join(good, ["a", "b"], "left_anti").select("key", F.col("b").alias("h"))
         lowest = F.array_min(F.transform(every_shingle(F.col("line")), lambda s: F.xxhash64(s, F.lit(turn))))
