@@ -152,26 +152,36 @@ def compare(batches):
 
 
 def near_components(prints: DataFrame) -> DataFrame:
-    """(fingerprint, component) for the fingerprints that have a link; component is a fingerprint."""
+    """(node, component) for the fingerprints that have a link; both are fingerprints."""
     placed = prints.select("fingerprint").distinct().mapInArrow(replicas, "anchor bigint, fingerprint bigint")
     found = placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a bigint, b bigint")
-    return components(found.distinct(), "simhash").withColumnRenamed("node", "fingerprint")
+    return components(found.distinct(), "simhash")
 
 
-def grouped(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows as (id, k1, k2, fingerprint), k1 and k2 a 128-bit hash of the text, and per fingerprint its component
-    with the smallest id and the first row (smallest id, then hash; null ids last)."""
+def text_keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows as (id, k1, k2, text), k1 and k2 a 128-bit hash of the text."""
     body = F.col(text)
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).alias("id"), F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit(1)).alias("k2"), body.alias("text")
     )
-    prints = staged(fingerprints(rows, drop=("text",)), "fingerprints")
+
+
+def first_rows(nodes: DataFrame, linked: DataFrame, node: str) -> DataFrame:
+    """(component, node, component_id, first) of nodes with their least id and first row, and components of those
+    with a link."""
+    named = nodes.join(linked.withColumnRenamed("node", node), node, "left")
+    named = named.withColumn("component", F.coalesce("component", node))
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    return named.select(node, "component").join(firsts, "component")
+
+
+def grouped(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as (id, k1, k2, fingerprint), k1 and k2 a 128-bit hash of the text, and per fingerprint its component
+    with the smallest id and the first row (smallest id, then hash; null ids last)."""
+    prints = staged(fingerprints(text_keys(docs, id_col, text), drop=("text",)), "fingerprints")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.min(first).alias("first"))
-    named = nodes.join(near_components(prints), "fingerprint", "left")
-    named = named.withColumn("component", F.coalesce("component", "fingerprint"))
-    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-    return prints, named.select("fingerprint", "component").join(firsts, "component")
+    return prints, first_rows(nodes, near_components(prints), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,6 +200,11 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """One document of every group of near-duplicates, with all its columns: the one with the smallest id, and of
     rows that share this id the one with the smallest hash of its text. Rows equal in both stay once."""
     _, named = grouped(docs, id_col, text)
+    return only_firsts(docs, named, id_col, text)
+
+
+def only_firsts(docs: DataFrame, named: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The documents that are a `first` row of a component; rows equal in id and text stay once."""
     prefix = unused(docs)
     keys = [f"{prefix}{k}" for k in ("id", "k1", "k2")]
     first = named.select(*[F.col(f"first.{k}").alias(f"{prefix}{k}_") for k in ("id", "k1", "k2")]).distinct()
