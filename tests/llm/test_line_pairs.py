@@ -30,3 +30,33 @@ def test_signatures_bring_similar_lines_together():
     met = (a == b).any(axis=0)
     assert len(pairs) > 4000 and met.mean() > 0.98
     assert lines.signed(["", "ab", "ab", "x" * 30]).shape == (8, 4)
+
+
+def test_a_templated_family(spark):
+    prepare(spark)
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    base, family = [word() for _ in range(20)], []
+    for _ in range(700):
+        w = list(base)
+        for at in r.sample(range(20), 2):
+            w[at] = word()
+        near = list(w)
+        near[r.randrange(20)] = word()
+        family += [" ".join(w), " ".join(near)]
+    docs = spark.createDataFrame(list(enumerate(family)), "doc_id bigint, text string")
+    got = lines.dedupe_lines(docs, counts=("n", "gone")).agg({"gone": "sum"}).first()[0]
+    sets, name = [grams(t) for t in family], list(range(len(family)))
+
+    def root(i):
+        while name[i] != i:
+            name[i] = name[name[i]]
+            i = name[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if root(i) != root(j) and alike(sets[i], sets[j]):
+                name[root(i)] = root(j)
+    want = len(sets) - len({root(i) for i in range(len(sets))})
+    assert want > 500 and 0.97 * want <= got <= want, (got, want)

@@ -4,7 +4,8 @@ A line's signature is over all its shingles of SHINGLE characters. Each of BANDS
 so bands are independent: BANDS bands of ROWS minima bring lines with one equal band together, 96% of those with a
 similarity of 0.8 and 99.5% of those with 0.87. Signatures are worked out in Python on Arrow batches, once per distinct line,
 since built-in functions cost several times as much; all else is DataFrame functions. Lines of a bucket are compared with its
-least line, exactly, by the Jaccard similarity of their shingles; those unlike it are split by further minima and compared in their parts. Links of 0.8 or more make components, by rounds of star operations in tables, and
+least line, exactly, by the Jaccard similarity of their shingles; then all pairs of a bucket that are not in one
+component by then are compared too. Links of 0.8 or more make components, by rounds of star operations in tables, and
 every component keeps its first line.
 
 Lines are named by a 64-bit hash, so that texts move to be folded, to be compared, and to be put together again.
@@ -106,23 +107,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among the lines of buckets (key, a, b): each line against its bucket's least one.
-
-    Lines that do not resemble it are split further by one more minimum, of all their shingles, and compared with the
-    least line of their part, and so on while a part has two lines. Every round leaves out the least lines, and lines less
-    alike than the threshold part from each other, so the rounds grow with the logarithm of the largest bucket.
+    """Links (a, b) that join all similar lines of buckets (key, a, b): each line against its bucket's least one, then all
+    other pairs of a bucket from different components. What is linked stays in the comparison, and what is in one
+    component by then needs no more links, so copies of one template that are alike make no pairs.
     """
-    met, found, turn = met.where("a <> b"), None, 0
-    while True:
-        good = staged(verified(met.select("a", "b").distinct(), texts, similarity), "links")
-        found = good if found is None else found.unionByName(good)
-        turn += 1
-        left = met.join(good, ["a", "b"], "left_anti").select("key", F.col("b").alias("h"))
-        lowest = F.array_min(F.transform(every_shingle(F.col("line")), lambda s: F.xxhash64(s, F.lit(turn))))
-        parts = left.join(texts, "h").select(F.xxhash64("key", lowest).alias("key"), "h")
-        met = staged(buckets(parts).where("a <> b").select("key", "a", "b"), "parts")
-        if met.isEmpty():
-            return found
+    found = staged(verified(met.where("a <> b").select("a", "b").distinct(), texts, similarity), "links")
+    named = components(found, "lines").withColumnRenamed("node", "b")
+    placed = staged(met.join(named, "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c")), "placed")
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rest = placed.join(split, "key").where("a <> b")
+    x, y = rest.alias("x"), rest.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.c") != F.col("y.c"))
+    pairs = x.join(y, apart).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    return found.unionByName(staged(verified(pairs, texts, similarity), "links"))
 
 
 def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
