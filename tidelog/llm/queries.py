@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, langid, lines, pieces, pii, shards, simhash, substrings, topk, urls
+from tidelog.llm import decontaminate, langid, lines, pieces, pii, sharding, shards, simhash, substrings, topk, urls
 from tidelog.llm.common import prepare, table
 from tidelog.session import shared_dir
 
@@ -159,6 +159,20 @@ def op10_shards(
     return found.select("slot", "shard", "doc_id", "part", n_ids, digest("ids").alias("ids_sha256"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are written into their shards; the rows tell of the records as they were read back."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    body = F.coalesce("text", F.lit(""))
+    sized = docs.withColumns({"size": F.octet_length(body).cast("bigint") + 1, "text_crc32": F.crc32(body)})
+    path = shared_dir(spark, "sharding")
+    sharding.write_shards(sized, path, order=("text_crc32", "size"))
+    found = sharding.read_shards(spark, path, sized.schema)
+    grown = sharding.shard_of(F.col("doc_id"), (1.0,) * (sharding.SHARDS + 1))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -170,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_shards": op10_shards,
+    "op12_sharding": op12_sharding,
 }
 
 ORACLES = {"op4_substrings": OP4_SQL, "op6_topk": OP6_SQL, "op7_decontaminate": OP7_SQL}
