@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, langid, lines, pieces, pii, sharding, shards, simhash, substrings, topk, urls
+from tidelog.llm import alignment, decontaminate, langid, lines, pieces, pii, sharding, shards, simhash, substrings, topk, trie, urls
 from tidelog.llm.common import prepare, table
 from tidelog.session import shared_dir
 
@@ -159,6 +159,13 @@ def op10_shards(
     return found.select("slot", "shard", "doc_id", "part", n_ids, digest("ids").alias("ids_sha256"))
 
 
+def op11_alignment(
+    spark: SparkSession, sf_dir: str, byte_level: str = f"{TOKENIZERS}/byte_bpe_50k.json", model: str = f"{TOKENIZERS}/piece_bpe_32k.model"
+) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return alignment.align_and_count(docs, alignment.read_tokenizers(byte_level, model))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are written into their shards; the rows tell of the records as they were read back."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -173,6 +180,47 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(prepare(spark), sf_dir, "conversations")
+    return trie.prefix_trie(trie.grafted(trie.paths_of(turns)))
+
+
+# What the low four bits of a CRC-32 register become, bit by bit.
+CRC_STEP = """xor(c >> 4, xor(xor(498536548 * (xor(c, n) & 1), 997073096 * ((xor(c, n) >> 1) & 1)),
+      xor(1994146192 * ((xor(c, n) >> 2) & 1), 3988292384 * ((xor(c, n) >> 3) & 1))))"""
+OP13_SQL = rf"""
+with t as (
+  select conv_id, turn, md5(concat(strlen(r), ':', r, x)) as m, len(regexp_extract_all(x, '[^\x{{20}}\x{{09}}-\x{{0D}}]+')) as w
+  from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null)),
+o as (select conv_id, list({{'m': m, 'w': w}} order by turn nulls first, m) as own from t group by 1),
+h as (
+  select *, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(2 * strlen(conv_id::varchar)),
+      lambda i: ((ascii(substr(conv_id::varchar, i // 2 + 1, 1)) >> (4 * (i % 2))) & 15)::bigint),
+    lambda c, n: {CRC_STEP})) % 4 as h from o),
+p as (
+  select h.conv_id, list_concat(coalesce(b.own, [])[1 : h.h], h.own[h.h + 1 :]) as path
+  from h left join o b on b.conv_id = h.conv_id - h.conv_id % 20),
+m as (
+  select conv_id, d, len(path) = d as ends, path[d].w as w,
+    md5(array_to_string(list_transform(path[1:d], lambda e: e.m), ',')) as k
+  from (select *, unnest(range(len(path) + 1)) as d from p)),
+n as (
+  select d, k, min(conv_id) as conv_id, count(*) as n, coalesce(max(w), 0) as w,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends
+  from m group by 1, 2),
+u as (
+  select n.*, up.k as up_k, up.conv_id as up_id
+  from n left join m on m.conv_id = n.conv_id and m.d = n.d - 1 left join n up on up.d = n.d - 1 and up.k = m.k),
+c as (select d - 1 as d, up_k as k, count(*) as kids from u where d > 0 group by 1, 2),
+s as (
+  select a.d, a.k, sum((u.n - 1) * case when u.d > 0 then u.w else 0 end) as saved, count(*) filter (c.kids is null) as leaves
+  from u left join c on c.d = u.d and c.k = u.k join m a on a.conv_id = u.conv_id and a.d <= u.d group by 1, 2)
+select u.conv_id, u.d as depth, up_id as parent_conv_id, n as n_convs, coalesce(kids, 0) as n_children,
+  cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, ends as ends_sha256
+from u left join c using (d, k) join s using (d, k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -184,10 +232,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_shards": op10_shards,
+    "op11_alignment": op11_alignment,
     "op12_sharding": op12_sharding,
+    "op13_trie": op13_trie,
 }
 
-ORACLES = {"op4_substrings": OP4_SQL, "op6_topk": OP6_SQL, "op7_decontaminate": OP7_SQL}
+ORACLES = {"op4_substrings": OP4_SQL, "op6_topk": OP6_SQL, "op7_decontaminate": OP7_SQL, "op13_trie": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
