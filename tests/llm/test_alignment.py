@@ -76,8 +76,7 @@ def made(seed):
     return texts + texts[-3:]
 
 
-@pytest.mark.parametrize("piece", [alignment.PIECE, 50, 7])
-@pytest.mark.parametrize("broadcast", [0, 10**6])
+@pytest.mark.parametrize("piece, broadcast", [(alignment.PIECE, 0), (50, 10**6), (7, 10**6)])
 def test_equals_plain_version(spark, own, monkeypatch, piece, broadcast):
     prepare(spark)
     monkeypatch.setattr(alignment, "BROADCAST_PAIRS", broadcast)
