@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidelog.llm.common import staged
 
@@ -177,28 +177,24 @@ def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, out
 
 
-RECORD = "row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, links array<bigint>"
-# A piece that is still to be aligned has the ids and where they begin.
-PART = f"{RECORD}, piece int, at_a bigint, at_b bigint, a array<int>, b array<int>"
-FRAGMENT = (
-    "row bigint, piece int, n_a bigint, n_b bigint, closed boolean, head_a array<int>, head_b array<int>, text string, "
-    "n_groups bigint, n_links bigint, pairs array<bigint>, links array<bigint>, tail_a array<int>, tail_b array<int>"
-)
+LONG, INTS, LONGS = pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())
+RECORD = pa.schema({"row": LONG, "n_a": LONG, "n_b": LONG, "n_groups": LONG, "n_links": LONG, "groups_sha256": pa.string(), "pairs": LONGS, "links": LONGS})
+# A piece that is still to be aligned has the ids and the bytes before them.
+PART = pa.schema([*RECORD, *pa.schema({"piece": pa.int32(), "at_a": LONG, "at_b": LONG, "a": INTS, "b": INTS})])
+FRAGMENT = pa.schema({
+    "row": LONG, "piece": pa.int32(), "n_a": LONG, "n_b": LONG, "closed": pa.bool_(), "head_a": INTS, "head_b": INTS, "text": pa.string(),
+    "n_groups": LONG, "n_links": LONG, "pairs": LONGS, "links": LONGS, "tail_a": INTS, "tail_b": INTS,
+})
 
 
-def batch_of(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
-    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
-
-
-def schema_of(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types)], schema=schema)
 
 
 def tokens(batches: Iterator[pa.RecordBatch], own: Tokenizers, piece: int) -> Iterator[pa.RecordBatch]:
     """Records of the documents (row, text) that are one piece, and the pieces of all others."""
-    schema = schema_of(PART)
+    schema = PART
     for batch in batches:
         out, docs = [], []
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -243,7 +239,7 @@ def records(own: Tokenizers, docs: list[tuple[int, np.ndarray, np.ndarray]]) ->
 
 def fragments(batches: Iterator[pa.RecordBatch], own: Tokenizers) -> Iterator[pa.RecordBatch]:
     """What every piece (row, piece, at_a, at_b, a, b) holds: a head up to the first common end, whole groups, and a tail."""
-    schema = schema_of(FRAGMENT)
+    schema = FRAGMENT
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(4)]
         for k, (row, piece, at_a, at_b) in enumerate(zip(*columns)):
@@ -302,7 +298,7 @@ class Stitch:
 
 def stitched(batches: Iterator[pa.RecordBatch], own: Tokenizers) -> Iterator[pa.RecordBatch]:
     """Records of documents from their fragments, sorted by (row, piece)."""
-    schema, doc = schema_of(RECORD), None
+    schema, doc = RECORD, None
     for batch in batches:
         for row, _, *rest in zip(*(c.to_pylist() for c in batch.columns)):
             if doc is None or row != doc.row:
@@ -333,13 +329,13 @@ def align(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text:
                 own = ids.take(pa.array([numbers[r] for r in out.column(0).to_pylist()], pa.int64()))
                 yield pa.RecordBatch.from_arrays([own, *out.columns], names=["id", *out.schema.names])
 
-    parts = staged(rows.mapInArrow(first, T.StructType([kind, *schema_of(PART).fields])), "tokens")
-    names = schema_of(RECORD).names
+    parts = staged(rows.mapInArrow(first, T.StructType([kind, *from_arrow_schema(PART).fields])), "tokens")
+    names = RECORD.names
     long = parts.where("piece is not null")
     # The pieces of a document are dealt to many tasks, and meet again in the order of their text.
     held = long.repartition("row", "piece").select("row", "piece", "at_a", "at_b", "a", "b")
-    held = held.mapInArrow(lambda batches: fragments(batches, sent.value), FRAGMENT)
-    joined = held.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(lambda batches: stitched(batches, sent.value), RECORD)
+    held = held.mapInArrow(lambda batches: fragments(batches, sent.value), from_arrow_schema(FRAGMENT))
+    joined = held.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(lambda batches: stitched(batches, sent.value), from_arrow_schema(RECORD))
     joined = joined.join(long.where("piece = 0").select("row", "id"), "row")
     every = parts.where("piece is null").select("id", *names).unionByName(joined.select("id", *names))
     return every.withColumnRenamed("id", id_col)
