@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,8 @@ from tidelog.llm.common import staged
 
 #: Token ends in a piece.
 PIECE = 16_384
+#: White space in a row from which on A is encoded by its own library.
+SPACES = 100_000
 #: Pairs of different ids that are spread out at once.
 SPREAD = 1 << 22
 #: Up to so many pairs of ids the counts are broadcast (24 bytes each); more are joined by shuffling.
@@ -64,6 +68,8 @@ class Tokenizers:
         merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in own["merges"]]
         if any(x >= y for x, y in zip(merged, merged[1:])):
             raise ValueError("the merges of the vocabulary are not in the order of its ids")
+        if not {bytes([b]) for b in range(256)} <= ranks.keys():
+            raise ValueError("the vocabulary does not have all bytes")
         self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -79,12 +85,22 @@ class Tokenizers:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def slow(self):
+        """A by its own library, which has no bound on white space."""
+        found = tokenizers.Tokenizer.from_str(self.byte_level.decode())
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both; none where the text is null or empty, or where either does not spell a space and the text."""
         if text:
-            a, b = self.a.encode_ordinary(f" {text}"), self.b.encode(text)
-            raw = f" {text}".encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b)):
+            if len(text) > SPACES and re.search(rf"\s{{{SPACES}}}", text):  # more than the pattern of A can search
+                a = self.slow().encode(f" {text}", add_special_tokens=False).ids
+            else:
+                a = self.a.encode_ordinary(f" {text}")
+            b = self.b.encode(text)
+            # A has all bytes and spells everything; B may not have some letters.
+            if b"".join(map(self.bytes_b.__getitem__, b)) == f" {text}".encode():
                 return np.array(a, np.int64), np.array(b, np.int64)
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -114,29 +130,26 @@ class Groups:
 
     def __init__(self, own: Tokenizers, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
         self.own, self.a, self.b = own, a, b
-        if len(a) and len(b):
-            last_a = ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(b) - 1)] == ends_a
-            last_b = ends_a[np.minimum(np.searchsorted(ends_a, ends_b), len(a) - 1)] == ends_b
-        else:
-            last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        self.last_a, self.last_b = last_a, last_b
+        base = min([int(e[0]) for e in (ends_a, ends_b) if len(e)], default=0)
+        size = max([int(e[-1]) for e in (ends_a, ends_b) if len(e)], default=0) - base + 1
+        marks = np.zeros((2, size), bool)
+        marks[0, ends_a - base] = marks[1, ends_b - base] = True
+        last_a, last_b = marks[1, ends_a - base], marks[0, ends_b - base]
         self.of_a, self.of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         self.n = int(last_a.sum())
         self.ends_a, self.ends_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1  # tokens up to each group's end
+        # The closed groups as codes of `texts`: a token of A stands behind all tokens of earlier groups, one of B also
+        # behind those of A in its own group.
+        m, k = (int(e[-1]) if self.n else 0 for e in (self.ends_a, self.ends_b))
+        self.codes = np.empty(m + k, np.int64)
+        before = np.concatenate(([0], self.ends_b))
+        self.codes[np.arange(m) + before[self.of_a[:m]]] = 2 * a[:m] + last_a[:m]
+        self.codes[np.arange(k) + self.ends_a[self.of_b[:k]]] = 2 * (len(own.bytes_a) + b[:k]) + last_b[:k]
+        self.edges = np.concatenate(([0], self.ends_a + self.ends_b))
 
     def text(self, first: int, last: int) -> str:
         """The groups from `first` to before `last` as text."""
-        if first >= last:
-            return ""
-        at = [(0 if first == 0 else int(e[first - 1])) for e in (self.ends_a, self.ends_b)]
-        to = [int(e[last - 1]) for e in (self.ends_a, self.ends_b)]
-        codes = np.empty(to[0] - at[0] + to[1] - at[1], np.int64)
-        of_a, of_b = self.of_a[at[0] : to[0]], self.of_b[at[1] : to[1]]
-        # A token of A stands behind all tokens of earlier groups, one of B also behind those of A in its own group.
-        before_b = np.concatenate(([0], self.ends_b))[of_a] - at[1]
-        before_a = self.ends_a[of_b] - at[0]
-        codes[np.arange(len(of_a)) + before_b] = 2 * self.a[at[0] : to[0]] + self.last_a[at[0] : to[0]]
-        codes[np.arange(len(of_b)) + before_a] = 2 * (len(self.own.bytes_a) + self.b[at[1] : to[1]]) + self.last_b[at[1] : to[1]]
+        codes = self.codes[self.edges[first] : self.edges[last]] if first < last else self.codes[:0]
         return "".join(map(self.own.texts.__getitem__, codes.tolist()))[:-1]
 
     def links(self) -> np.ndarray:
@@ -155,7 +168,8 @@ class Groups:
         (ga, a, na), (gb, b, nb) = sides
         used = of[ga] >= 0
         ga, a, na = ga[used], a[used], na[used]
-        first, width = np.searchsorted(gb, ga), np.searchsorted(gb, ga, "right") - np.searchsorted(gb, ga)
+        each = np.bincount(gb, minlength=self.n)
+        first, width = (np.cumsum(each) - each)[ga], each[ga]
         ends = np.cumsum(width)
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         at = 0
@@ -310,7 +324,7 @@ def stitched(batches: Iterator[pa.RecordBatch], own: Tokenizers) -> Iterator[pa.
         yield batch_of([doc.record()], schema)
 
 
-def align(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+def align(docs: DataFrame, own: Tokenizers, id_col: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, links) of every document, each row one.
 
     `pairs` are the different linked pairs of ids, as id of A * ids of B + id of B, and `links` how many of the
@@ -318,7 +332,7 @@ def align(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text:
     semicolons. Null and empty texts, and those that either tokenizer does not spell as a space and the text, have no
     tokens, no pairs and an empty digest. Ids may be null or repeat; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizers)
+    sent = docs.sparkSession.sparkContext.broadcast(own)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"]
 
@@ -326,8 +340,8 @@ def align(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text:
         for batch in batches:
             ids, numbers = batch.column(1), {r: i for i, r in enumerate(batch.column(0).to_pylist())}
             for out in tokens(iter([batch.select([0, 2])]), sent.value, piece):
-                own = ids.take(pa.array([numbers[r] for r in out.column(0).to_pylist()], pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *out.columns], names=["id", *out.schema.names])
+                same = ids.take(pa.array([numbers[r] for r in out.column(0).to_pylist()], pa.int64()))
+                yield pa.RecordBatch.from_arrays([same, *out.columns], names=["id", *out.schema.names])
 
     parts = staged(rows.mapInArrow(first, T.StructType([kind, *from_arrow_schema(PART).fields])), "tokens")
     names = RECORD.names
@@ -349,11 +363,11 @@ def pair_counts(aligned: DataFrame, ids_b: int) -> DataFrame:
     return staged(counts.join(most, F.col("a") == F.col("of")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
 
 
-def align_and_count(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+def align_and_count(docs: DataFrame, own: Tokenizers, id_col: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
     """Documents as `align` gives them, with n_best, the links whose pair is in most documents among those of its id of A,
     and count_sum, the numbers of documents of all links' pairs, in place of the pairs."""
-    aligned = staged(align(docs, tokenizers, id_col, text, piece), "aligned")
-    counts = pair_counts(aligned, len(tokenizers.bytes_b))
+    aligned = staged(align(docs, own, id_col, text, piece), "aligned")
+    counts = pair_counts(aligned, len(own.bytes_b))
     if counts.count() <= BROADCAST_PAIRS:
         counts = F.broadcast(counts)
     keys = ["row", id_col, "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
