@@ -55,19 +55,37 @@ def _near_entries(logs: DataFrame, service: str | None, tr: TimeRange | None) ->
     return filter_logs(logs, service=service, tr=tr).where(F.col("ts").isNotNull())
 
 
+def cells_of(near: DataFrame, cell: Column, *keys: str) -> DataFrame:
+    """Entries folded into cells of time (by key): first and last time, entries and alarms. Cells can be folded again."""
+    return near.groupBy(never_null(cell, 0).alias("cell"), *keys).agg(
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.count("*").alias("entries"),
+        F.count_if(is_alarm()).alias("alarms"),
+    )
+
+
+def fold_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """Several rows of a cell (and key) as one."""
+    return cells.groupBy(never_null(F.col("cell"), 0).alias("cell"), *keys).agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.sum("entries").alias("entries"),
+        F.sum("alarms").alias("alarms"),
+    )
+
+
 def _chained_cells(near: DataFrame, gap: int, cell: Column) -> DataFrame:
+    return chained(cells_of(near, cell), gap)
+
+
+def chained(cells: DataFrame, gap: int) -> DataFrame:
     """Occupied cells with the number of the chain they belong to.
 
     A cell is as wide as the gap, so entries of one cell always chain and only cell borders can
     break. Breaks are numbered inside blocks of cells, and the blocks, one row each, are totalled
     to continue the numbers; no window sees the entries themselves.
     """
-    cells = near.groupBy(never_null(cell, 0).alias("cell")).agg(
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.count("*").alias("entries"),
-        F.count_if(is_alarm()).alias("alarms"),
-    )
     cells = whole_rows(cells)
     block = never_null(F.call_function("div", F.col("cell"), F.lit(CELLS_PER_BLOCK)), 0)
     inside = W.partitionBy("block").orderBy("cell")
@@ -100,7 +118,7 @@ def _chained_cells(near: DataFrame, gap: int, cell: Column) -> DataFrame:
     )
 
 
-def _fold_groups(cells: DataFrame) -> DataFrame:
+def groups_of(cells: DataFrame) -> DataFrame:
     groups = cells.groupBy("group_id").agg(
         F.min("first_ts").alias("start_ts"),
         F.max("last_ts").alias("end_ts"),
@@ -129,7 +147,7 @@ def correlate_time(
     gap = parse_window(window)
     near = _near_entries(logs, service, tr)
     cells = _chained_cells(near, micros(gap), epoch_cell(F.col("ts"), gap))
-    return _fold_groups(cells)
+    return groups_of(cells)
 
 
 def correlated_entries(

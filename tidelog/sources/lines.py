@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,34 +40,94 @@ class LineOptions:
         return [k for k in (*named, *TRACE_KEYS, *SPAN_KEYS) if k]
 
 
-def _path_regex(pattern: str) -> str:
-    """Regex for a path glob in which `**` spans any number of folders."""
-    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    pieces = re.split(r"(\*\*/|\*\*|\*|\?)", pattern.rstrip("/"))
-    return "".join(parts.get(p, re.escape(p)) for p in pieces) + "$"
+# Path patterns: `**` spans folders, `*` and `?` stay in one, `[...]` is a set (`!` or `^` first: all but it), `{a,b}` a choice.
+_GLOB = re.compile(r"\*\*/|\*\*|\*|\?|\[[!^]?\]?[^\]]*\]|\{[^{}]*\}|.", re.S)
 
 
-def _matches(path: Column, pattern: str) -> Column:
+def path_regex(pattern: str) -> str:
+    """Regex, for a whole path, of a path pattern."""
+    plain = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+    def part(piece: str) -> str:
+        if piece in plain:
+            return plain[piece]
+        if len(piece) > 1 and piece[0] == "[":
+            inner = re.sub(r"([\\\[\]&~])", r"\\\1", re.sub("^[!^]", "", piece[1:-1]))
+            return f"[^/{inner}]" if piece[1] in "!^" else f"[{inner}]"
+        if len(piece) > 1:
+            return f"(?:{'|'.join(path_regex(choice) for choice in piece[1:-1].split(','))})"
+        return re.escape(piece)
+
+    return "".join(part(piece) for piece in _GLOB.findall(pattern.rstrip("/")))
+
+
+def _decoded(path: Column) -> Column:
+    """A file's path as text: file listings give it as an URI. A plus sign stands for itself there."""
+    return _short(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+
+
+def _short(path: Column) -> Column:
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+
+
+def _qualified(spark: SparkSession, pattern: str) -> str:
+    """A pattern with the file system it belongs to, as file listings name it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):///", r"\1:/", system.makeQualified(path).toString())
+
+
+def _matches(spark: SparkSession, path: Column, pattern: str) -> Column:
     """Whether a pattern stands for the file; a plain folder stands for the files in it."""
-    return path.rlike(_path_regex(pattern)) | path.rlike(_path_regex(pattern.rstrip("/") + "/*"))
+    regex = path_regex(_qualified(spark, pattern))
+    return path.rlike(f"^(?:{regex})(?:/[^/]*)?$")
 
 
-def _files_of(spark: SparkSession, pattern: str) -> DataFrame | None:
-    """Raw lines of the files of one pattern, None if there is no such file."""
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    root, spans, _ = pattern.partition("**")
+def _root(pattern: str) -> tuple[str, bool]:
+    """What to list for a pattern, and whether with all folders below."""
+    if "**" not in pattern:
+        return pattern, False
+    return pattern[: pattern.index("**")].rpartition("/")[0] or ("/" if pattern.startswith("/") else "."), True
+
+
+def _patterns(paths) -> list[str]:
+    return list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+
+
+def _own_files(spark: SparkSession, files: DataFrame, patterns: list[str], i: int) -> DataFrame:
+    """The rows whose file_path the i-th pattern stands for, and none before it."""
+    path = _decoded(F.col("file_path"))
+    if "**" in patterns[i]:
+        files = files.where(path.rlike(f"^(?:{path_regex(_qualified(spark, patterns[i]))})$"))
+    for earlier in patterns[:i]:
+        files = files.where(~_matches(spark, path, earlier))
+    return files
+
+
+def _raw_lines(reader, pattern: str) -> DataFrame | None:
+    """Raw lines of all files to list for a pattern, batch or stream; None if there is no such file."""
+    root, spans = _root(pattern)
     try:
-        lines = reader.option("recursiveFileLookup", bool(spans)).text(root if spans else pattern)
+        lines = reader.option("recursiveFileLookup", spans).text(root)
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    lines = lines.select(
+    return lines.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
-    return lines.where(F.col("file_path").rlike(_path_regex(pattern))) if spans else lines
+
+
+def with_positions(lines: DataFrame, source: str) -> DataFrame:
+    """Raw lines (value, file_path, block_start), stripped, without blank ones, with source and `line_pos`."""
+    return (
+        lines.withColumn("line_pos", F.monotonically_increasing_id())
+        .withColumn("value", strip(F.make_valid_utf8("value")))
+        .where(F.col("value") != "")
+        .select(F.lit(source).alias("source"), *POSITION_COLUMNS, "value")
+    )
 
 
 def read_log_lines(spark: SparkSession, paths, source: str) -> DataFrame:
@@ -77,23 +138,30 @@ def read_log_lines(spark: SparkSession, paths, source: str) -> DataFrame:
     files' text. A file matched by several patterns is read for the first one only. Files that
     cannot be read and patterns without a file give no rows.
     """
-    patterns = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
-    lines = None
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    patterns, lines = _patterns(paths), None
     for i, pattern in enumerate(patterns):
-        found = _files_of(spark, pattern)
-        if found is None:
-            continue
-        for earlier in patterns[:i]:
-            found = found.where(~_matches(F.col("file_path"), earlier))
-        lines = found if lines is None else lines.unionByName(found)
+        found = _raw_lines(reader, pattern)
+        if found is not None:
+            found = _own_files(spark, found, patterns, i)
+            lines = found if lines is None else lines.unionByName(found)
     if lines is None:
         lines = spark.createDataFrame([], "value string, file_path string, block_start bigint")
-    return (
-        lines.withColumn("line_pos", F.monotonically_increasing_id())
-        .withColumn("value", strip(F.make_valid_utf8("value")))
-        .where(F.col("value") != "")
-        .select(F.lit(source).alias("source"), *POSITION_COLUMNS, "value")
-    )
+    return with_positions(lines, source)
+
+
+def stream_raw_lines(spark: SparkSession, paths, files_per_batch: int | None = None) -> DataFrame:
+    """Raw lines (value, file_path, block_start) of the files matching `paths`, as a stream of files.
+
+    A file is read once, when it is first seen: move finished files into the folder, as what is added to one later
+    is not read. Every pattern's folder must exist. Patterns are as in `read_log_lines`.
+    """
+    reader = spark.readStream.option("ignoreMissingFiles", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    patterns = _patterns(paths)
+    streams = [_own_files(spark, _raw_lines(reader, pattern), patterns, i) for i, pattern in enumerate(patterns)]
+    return reduce(DataFrame.unionByName, streams)
 
 
 def log_files(spark: SparkSession, paths, source: str) -> DataFrame:
@@ -102,17 +170,16 @@ def log_files(spark: SparkSession, paths, source: str) -> DataFrame:
     One that gives no line at all, not even a blank one, could not be read. Only names are listed; the lines are
     counted inside the tasks. Files without any bytes are not listed, as no scan opens them.
     """
-    patterns = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+    patterns = _patterns(paths)
     files = spark.createDataFrame([], "file_path string, lines bigint")
-    for pattern in patterns:
-        found = _files_of(spark, pattern)
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    for i, pattern in enumerate(patterns):
+        found = _raw_lines(reader, pattern)
         if found is None:
             continue
-        root, spans, _ = pattern.partition("**")
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", bool(spans))
-        listed = reader.load(root if spans else pattern).select(F.col("_metadata.file_path").alias("file_path"))
-        if spans:
-            listed = listed.where(F.col("file_path").rlike(_path_regex(pattern)))
+        root, spans = _root(pattern)
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", spans).load(root)
+        listed = _own_files(spark, listing.select(F.col("_metadata.file_path").alias("file_path")), patterns, i)
         counts = found.groupBy("file_path").agg(F.count("*").alias("lines"))
         files = files.unionByName(listed.join(counts, "file_path", "left"))
     readable = F.coalesce(F.max("lines"), F.lit(0)) > 0
@@ -129,17 +196,26 @@ def json_document(value: Column) -> Column:
 def compile_pattern(pattern: str) -> tuple[str, dict[str, int]]:
     """Java form of a regex with named groups, and the number of each name.
 
-    Group names are dropped because Java knows neither `(?P<` nor `_` in a name.
+    Group names are dropped because Java knows neither `(?P<` nor `_` in a name. Sets lose Java's own meanings of `[` and
+    `&&` in them, `\\Z` and `{,n}` get their Java spelling. Refused, as Java has nothing like them: conditions
+    `(?(1)...)`, comments `(?#...)`, named characters `\\N{...}` and the flags a and L.
     """
     names = dict(re.compile(pattern).groupindex)
-    token = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<\w+>|\(\?P=(\w+)\)", re.S)
+    token = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<\w+>|\(\?P=(\w+)\)|\{,\d+\}|\(\?(?:\(|#|[a-zA-Z]*[aL])", re.S)
 
     def plain(found):
-        if found.group().startswith("(?P<"):
+        text = found.group()
+        if text.startswith("(?P<"):
             return "("
         if found.group(1):
             return "\\" + str(names[found.group(1)])
-        return found.group()
+        if text.startswith("(?") or text == "\\N":
+            raise ValueError(f"{text} is not available in patterns")
+        if text.startswith("["):
+            first = 2 if text.startswith("[^") else 1
+            inner = re.sub(r"\\.|^\]|\[|&&", lambda m: {"]": "\\]", "[": "\\[", "&&": "&\\&"}.get(m[0], m[0]), text[first:-1])
+            return text[:first] + inner + "]"
+        return {"\\Z": "\\z"}.get(text, text.replace("{,", "{0,") if text.startswith("{,") else text)
 
     return token.sub(plain, pattern), names
 
@@ -147,10 +223,11 @@ def compile_pattern(pattern: str) -> tuple[str, dict[str, int]]:
 def regex_document(value: Column, pattern: str) -> Column:
     """Document of the named groups if the regex matches at the start of the line, else null.
 
+    Letters, digits and spaces are those of all scripts, as `(?U)` says to Java.
     A group that took no part in the match, or matched nothing, counts as an absent key.
     """
     java, names = compile_pattern(pattern)
-    whole = f"^(?:{java})"
+    whole = f"(?U)^(?:{java})"
     pairs = []
     for name, number in names.items():
         pairs += [F.lit(name), blank_to_null(F.regexp_extract(value, whole, number))]

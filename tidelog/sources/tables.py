@@ -59,6 +59,12 @@ def with_final_seq(staged: DataFrame) -> DataFrame:
     return numbered.withColumn("seq", seq).select(*COLUMNS)
 
 
+def with_day(entries: DataFrame) -> DataFrame:
+    """Entries with `dt`, the UTC day in any session."""
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("int")
+    return entries.withColumn("dt", F.date_add(F.lit("1970-01-01").cast("date"), day))
+
+
 def write_log_table(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write entries as Parquet under source=/dt=, sorted by time inside each file.
 
@@ -77,10 +83,8 @@ def write_log_table(entries: DataFrame, path: str, mode: str = "overwrite") -> N
         last = read_log_table(spark, path).groupBy("source").agg((F.max("seq") + 1).alias("seq_base"))
         seq = F.col("seq") + F.coalesce("seq_base", F.lit(0))
         entries = entries.join(last, "source", "left").withColumn("seq", seq).drop("seq_base")
-    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("int")
-    dated = entries.withColumn("dt", F.date_add(F.lit("1970-01-01").cast("date"), day))
     (
-        dated.repartitionByRange("source", "dt", "ts", "seq")
+        with_day(entries).repartitionByRange("source", "dt", "ts", "seq")
         .sortWithinPartitions("source", "dt", "ts", "seq")
         .write.mode(mode)
         .partitionBy(*PARTITIONS)
