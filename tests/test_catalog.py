@@ -40,3 +40,13 @@ def test_schema(entries):
     kinds = {r.name for r in src.describe_schema(logs, kind="cloudwatch").collect()}
     assert {"@timestamp", "@message", "@logStream", "@logGroup", "n"} <= kinds
     assert src.sample_entry(logs).first().message == "x" and src.describe_schema(logs, "none").count() == 5
+
+
+def test_nested_keys(spark, entries):
+    df = entries([{"a": {"b": {"c": 1}}, "tags": ["x"], "m": 1, "n": None}, {"a": {"b": {"c": 2.5, "d e.f": True}}, "m": "two", "list": [{"k": 1}]}])
+    found = {(r.path, r.type) for r in src.nested_keys(df).collect()}
+    assert found == {
+        ("a", "object"), ("a.b", "object"), ("a.b.c", "number"), ("a.b.d e.f", "boolean"), ("tags", "array"), ("tags[]", "string"),
+        ("m", "mixed"), ("n", "null"), ("list", "array"), ("list[]", "object"), ("list[].k", "number"),
+    }
+    assert src.nested_keys(entries(["plain"])).count() == 0 == src.nested_keys(df, "other").count()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, live_queries, log_queries, source_queries
+from . import analysis_queries, live_queries, log_queries, source_queries, table_queries
 
-QUERIES = {**source_queries.QUERIES, **log_queries.QUERIES, **analysis_queries.QUERIES, **live_queries.QUERIES}
+QUERIES = {**source_queries.QUERIES, **log_queries.QUERIES, **analysis_queries.QUERIES, **live_queries.QUERIES, **table_queries.QUERIES}
 
 
 def queries():

@@ -3,6 +3,7 @@ from .catalog import (
     choose_sources,
     describe_schema,
     known_formats,
+    nested_keys,
     list_sources,
     sample_entry,
     source_health,

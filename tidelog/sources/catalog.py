@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import bind, last_wins, number
 from .documents import json_object
@@ -185,6 +188,47 @@ def describe_schema(logs: DataFrame, source: str | None = None, kind: str = "loc
     return declared.unionByName(found)
 
 
+def _paths(path: str, kind: T.DataType):
+    """(path, type) of a type and all that it holds; the elements of an array have its path and `[]`."""
+    if isinstance(kind, T.StructType):
+        if path:
+            yield path, "object"
+        for field in kind.fields:
+            yield from _paths(f"{path}.{field.name}" if path else field.name, field.dataType)
+    elif isinstance(kind, T.ArrayType):
+        yield path, "array"
+        yield from _paths(f"{path}[]", kind.elementType)
+    elif isinstance(kind, T.NullType):
+        yield path, "null"
+    elif isinstance(kind, T.VariantType):
+        yield path, "mixed"
+    elif isinstance(kind, T.StringType):
+        yield path, "string"
+    elif isinstance(kind, T.BooleanType):
+        yield path, "boolean"
+    else:
+        yield path, "number"
+
+
+def nested_keys(logs: DataFrame, source: str | None = None) -> DataFrame:
+    """(source, path, type) of all keys of the JSON lines as read, at any depth, as `a.b.c`; `a[]` are an array's elements.
+
+    The types of all lines are merged inside tasks and per source: `mixed` where lines differ, `null` where nothing else
+    was seen. A source comes back as one text, as long as its lines have distinct keys. Lines that are no JSON object
+    have none.
+    """
+    spark = logs.sparkSession
+    entries = logs if source is None else logs.where(F.col("source") == source)
+    value = F.when(json_object(F.col("raw")).isNotNull(), F.try_parse_json("raw"))
+    found = entries.select("source", value.alias("value")).where(F.col("value").isNotNull())
+    kinds = found.groupBy("source").agg(F.schema_of_variant_agg("value").alias("kind")).collect()
+    rows = []
+    for row in kinds:
+        ddl = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], row["kind"])
+        rows += [(row["source"], *found) for found in _paths("", T._parse_datatype_string(ddl))]
+    return spark.createDataFrame(rows, "source string, path string, type string")
+
+
 def known_formats(logs: DataFrame, source: str | None = None, kind: str = "local") -> DataFrame:
     """The line formats a kind of source is known to hold, each with the number of entries read in it.
 

@@ -61,7 +61,7 @@ def path_regex(pattern: str) -> str:
     return "".join(part(piece) for piece in _GLOB.findall(pattern.rstrip("/")))
 
 
-def _decoded(path: Column) -> Column:
+def decoded_path(path: Column) -> Column:
     """A file's path as text: file listings give it as an URI. A plus sign stands for itself there."""
     return _short(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
 
@@ -70,7 +70,7 @@ def _short(path: Column) -> Column:
     return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
 
 
-def _qualified(spark: SparkSession, pattern: str) -> str:
+def qualified_path(spark: SparkSession, pattern: str) -> str:
     """A pattern with the file system it belongs to, as file listings name it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -79,7 +79,7 @@ def _qualified(spark: SparkSession, pattern: str) -> str:
 
 def _matches(spark: SparkSession, path: Column, pattern: str) -> Column:
     """Whether a pattern stands for the file; a plain folder stands for the files in it."""
-    regex = path_regex(_qualified(spark, pattern))
+    regex = path_regex(qualified_path(spark, pattern))
     return path.rlike(f"^(?:{regex})(?:/[^/]*)?$")
 
 
@@ -96,9 +96,9 @@ def _patterns(paths) -> list[str]:
 
 def _own_files(spark: SparkSession, files: DataFrame, patterns: list[str], i: int) -> DataFrame:
     """The rows whose file_path the i-th pattern stands for, and none before it."""
-    path = _decoded(F.col("file_path"))
+    path = decoded_path(F.col("file_path"))
     if "**" in patterns[i]:
-        files = files.where(path.rlike(f"^(?:{path_regex(_qualified(spark, patterns[i]))})$"))
+        files = files.where(path.rlike(f"^(?:{path_regex(qualified_path(spark, patterns[i]))})$"))
     for earlier in patterns[:i]:
         files = files.where(~_matches(spark, path, earlier))
     return files
