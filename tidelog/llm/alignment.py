@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from tidelog.llm.common import staged
 
 #: Token ends in a piece.
-PIECE = 16_384
+PIECE = 65_536
 #: White space in a row from which on A is encoded by its own library.
 SPACES = 100_000
 #: Pairs of different ids that are spread out at once.
@@ -97,7 +97,7 @@ class Tokenizers:
             if len(text) > SPACES and re.search(rf"\s{{{SPACES}}}", text):  # more than the pattern of A can search
                 a = self.slow().encode(f" {text}", add_special_tokens=False).ids
             else:
-                a = self.a.encode_ordinary(f" {text}")
+                a = self.a.encode_to_numpy(f" {text}", disallowed_special=())
             b = self.b.encode(text)
             # A has all bytes and spells everything; B may not have some letters.
             if b"".join(map(self.bytes_b.__getitem__, b)) == f" {text}".encode():
