@@ -14,7 +14,7 @@ def alike(a, b):
     return 10 * len(a & b) >= 8 * len(a | b)
 
 
-def test_signatures_bring_similar_lines_together():
+def test_signatures_bring_similar_lines_together(spark):
     r = random.Random(21)
     word = lambda n=0: "".join(r.choice("abcdefghijklmnop") for _ in range(n or r.randrange(3, 9)))
     pairs = []
@@ -26,10 +26,29 @@ def test_signatures_bring_similar_lines_together():
         pairs += [(" ".join(few), " ".join(typo)), (" ".join(few), " ".join(few) + "."), (one, one[:20] + "Z" + one[21:])]
         pairs += [(one[:24], one[:24] + "!"), ("漢字" + one, "漢字" + one + "。")]
     pairs = [p for p in pairs if alike(*map(grams, p))]
-    a, b = (lines.signed(list(side)) for side in zip(*pairs))
-    met = (a == b).any(axis=0)
-    assert len(pairs) > 4000 and met.mean() > 0.98
-    assert lines.signed(["", "ab", "ab", "x" * 30]).shape == (8, 4)
+    rows = spark.createDataFrame([(i, t) for i, p in enumerate(pairs) for t in p], "h int, line string").coalesce(4)
+    keys = {}
+    for r in lines.signed(rows).collect():
+        keys.setdefault(r.h, []).append(r["keys"])
+    met = sum(any(x == y for x, y in zip(*both)) for both in keys.values()) / len(pairs)
+    print(f"{met:.4f} of {len(pairs)} similar pairs share a band")
+    assert len(pairs) > 4000 and met > 0.98
+    odd = lines.signed(spark.createDataFrame([(0, "ab"), (1, "ab"), (2, "x" * 30), (3, "漢字仮名交")], "h int, line string")).collect()
+    assert all(len(r["keys"]) == 8 for r in odd) and [r.size for r in odd] == [1, 1, 1, 1] and odd[0]["keys"] == odd[1]["keys"]
+
+
+def test_repeated_rows_blank_lines_and_clashing_names(spark):
+    prepare(spark)
+    text = "first line of the text\r\n\t\r\nsecond line of the text\r\n \r"
+    rows = [(1, text, 5, "x")] * 3 + [(1, text, 6, "x"), (None, text, 5, "x"), (2, "\t\n\x0b\n", 5, "x"), (3, "z" * 100_000 + "\nzz", 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int, _x string").repartition(3)
+    got = lines.dedupe_lines(docs, counts=("n", "gone")).collect()
+    assert len(got) == len(rows) and [c for c in got[0].asDict()] == ["doc_id", "text", "_x", "n", "gone"]
+    whole = [r for r in got if r.text == text]
+    assert len(whole) == 1 and whole[0].doc_id == 1  # one keeps its lines, the others only their blank ones
+    rest = [r for r in got if r.doc_id in (1, None) and r.text != text]
+    assert len(rest) == 4 and {(r.text, r.n, r.gone) for r in rest} == {("\t\r\n \r", 4, 2)}
+    assert {r.text for r in got if r.doc_id in (2, 3)} == {"\t\n\x0b\n", "z" * 100_000 + "\nzz"}
 
 
 def test_a_templated_family(spark):

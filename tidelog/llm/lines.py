@@ -1,22 +1,22 @@
-"""Fuzzy line dedup by MinHash.
+"""Fuzzy line dedup by MinHash, in DataFrame functions.
 
-A line's signature is over all its shingles of SHINGLE characters. Each of BANDS * ROWS minima has a permutation of its own,
-so bands are independent: BANDS bands of ROWS minima bring lines with one equal band together, 96% of those with a
-similarity of 0.8 and 99.5% of those with 0.87. Signatures are worked out in Python on Arrow batches, once per distinct line,
-since built-in functions cost several times as much; all else is DataFrame functions. Lines of a bucket are compared with its
-least line, exactly, by the Jaccard similarity of their shingles; then all pairs of a bucket that are not in one
-component by then are compared too. Links of 0.8 or more make components, by rounds of star operations in tables, and
-every component keeps its first line.
+A line's signature comes from the hashes of all its shingles of SHINGLE characters, each hashed once. The hashes lie on a
+ring with BANDS fixed marks; a band is the ROWS hashes that follow its mark, the minima of the permutation that begins
+there. Bands of lines with 20 shingles or more hardly share hashes: two lines with a similarity of 0.8 share a band in 96
+of 100 cases, with 0.85 in more than 99.
 
-Lines are named by a 64-bit hash, so that texts move to be folded, to be compared, and to be put together again.
+Each line of a bucket is compared with the bucket's least line: the sizes of both sets of shingles first, then the Jaccard
+similarity itself. Links make components by rounds of star operations in tables. Lines of one bucket that are in different
+components by then are matched by their sketches, the hashes of all bands; only pairs whose sketches agree as those of
+similar lines do leave that join, and are compared in turn. So copies of one line, in any number, make no pairs; unlike
+lines of one template are matched with one another inside their bucket, which costs time but no rows.
+
+Every component keeps its first line. Lines are named by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import components, discard, staged, unused
@@ -24,145 +24,162 @@ from tidelog.llm.common import components, discard, staged, unused
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 5
-ODD = np.array([xxhash.xxh64_intdigest(bytes([j])) | 1 for j in range(BANDS * ROWS)], np.uint64)
-SALT = np.array([xxhash.xxh64_intdigest(bytes([j]), 1) for j in range(BANDS * ROWS)], np.uint64)
-FACTORS = [np.uint64(xxhash.xxh64_intdigest(bytes([j]), 2) | 1) for j in range(SHINGLE)]
+MARKS = [-(2**63) + band * (2**64 // BANDS) for band in range(BANDS)]
+#: How far below the similarity the one that sketches tell may be.
+SLACK = 0.3
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, k, pos, line, h) for the lines of documents (id, k, text) that are not blank."""
-    rows = docs.select("id", "k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.trim("line") != "").withColumn("h", F.xxhash64("line"))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(31))
-
-
-def signed(lines: list[str]) -> np.ndarray:
-    """The keys of some lines, a row per band."""
-    padded = [t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in lines]
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - SHINGLE + 1
-    hashes = np.zeros(n, np.uint64)
-    for j, factor in enumerate(FACTORS):
-        hashes += codes[j : j + n] * factor
-    # Shingles do not run over the end of their line.
-    ends = np.cumsum(sizes)
-    inside = np.ones(len(codes), bool)
-    for j in range(1, SHINGLE):
-        inside[ends - j] = False
-    hashes = mixed(hashes[inside[:n]])
-    first = np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
-    keys = np.empty((BANDS, len(lines)), np.uint64)
-    for band in range(BANDS):
-        keys[band] = band
-        for j in range(band * ROWS, (band + 1) * ROWS):
-            keys[band] = mixed(keys[band] * FACTORS[0] + np.minimum.reduceat((hashes ^ SALT[j]) * ODD[j], first))
-    return keys.view(np.int64)
-
-
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(h, key): a row per band of every line (h, line)."""
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                keys = signed(batch.column(1).to_pylist())
-                names = np.repeat(batch.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys.T.ravel())], names=["h", "key"])
-
-    return lines.select("h", "line").mapInArrow(run, "h bigint, key bigint")
-
-
-def buckets(keys: DataFrame) -> DataFrame:
-    """(key, a, b) of bucket rows (key, h): each line b of a shared bucket, and the bucket's least line a.
+    """(id, k, o, pos, line, h) for the lines of documents (id, k, o, text) that are not blank."""
+    rows = docs.select("id", "k", "o", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.where(F.btrim("line", F.lit(BLANK)) != "").withColumn("h", F.xxhash64("line"))
+
+
+def hashes(line: Column) -> Column:
+    """The different shingles of a line as hashes; a shorter line is its own."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
+    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
+
+
+def bands_of(found: Column) -> Column:
+    """The hashes of each band, from the different hashes of a line."""
+    ring = F.sort_array(F.concat(found, F.array(*[F.lit(m) for m in MARKS])))
+    ring = F.concat(ring, F.slice(ring, 1, ROWS))  # the first hashes follow the last ones
+    bands = lambda r: F.array(*[F.slice(r, F.array_position(r, F.lit(m)) + 1, ROWS) for m in MARKS])
+    return F.get(F.transform(F.array(ring), bands), F.lit(0))
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """Lines (h, line, ...) with the number of their different shingles and the key of each band."""
+
+    def keys(found):
+        named = F.transform(bands_of(found), lambda band, b: F.xxhash64(band, b))
+        return F.struct(F.size(found).alias("size"), named.alias("keys"))
+
+    own = F.get(F.transform(F.array(hashes(F.col("line"))), keys), F.lit(0))
+    return lines.withColumn("own", own).select(*lines.columns, "own.size", "own.keys")
+
+
+def buckets(lines: DataFrame) -> DataFrame:
+    """(a, b) for each line b of a bucket with other lines, and the bucket's least line a.
 
     Minima are combined inside tasks, and the join's one row per bucket lets a hot bucket be split.
     """
-    least = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").drop("z")
+    keys = lines.select("h", F.explode("keys").alias("key"))
+    least = staged(keys.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
     return keys.join(least, "key").select("key", "a", F.col("h").alias("b"))
 
 
-def every_shingle(line) -> F.Column:
-    """All shingles of a line, repeats included; a shorter line is its own."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
+def near(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be so similar."""
+    return F.least(x, y) * 1000 >= F.greatest(x, y) * round(1000 * similarity)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines (h, line) whose exact Jaccard similarity reaches the threshold."""
-    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
-    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    joint = pairs.join(a, "a").join(b, "b")
-    # Texts move, not their shingles; the one-element array lets both sets be made once per pair.
-    sets = F.array(F.struct(every_shingle(F.col("x")).alias("x"), every_shingle(F.col("y")).alias("y")))
-    share = round(1000 * similarity)
-    alike = F.transform(
-        sets, lambda p: 1000 * F.size(F.array_intersect(p.x, p.y)) >= share * F.size(F.array_union(p.x, p.y))
-    )
-    return joint.where(F.get(alike, F.lit(0))).select("a", "b").distinct()
-
-
-def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join all similar lines of buckets (key, a, b): each line against its bucket's least one, then all
-    other pairs of a bucket from different components. What is linked stays in the comparison, and what is in one
-    component by then needs no more links, so copies of one template that are alike make no pairs.
-    """
-    found = staged(verified(met.where("a <> b").select("a", "b").distinct(), texts, similarity), "links")
-    named = components(found, "lines").withColumnRenamed("node", "b")
-    placed = staged(met.join(named, "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c")), "placed")
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = placed.join(split, "key").where("a <> b")
+    """The pairs (a, b) of lines (h, line, size) whose exact Jaccard similarity reaches the threshold."""
+    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("size").alias("m"))
+    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("size").alias("n"))
+    joint = pairs.join(a, "a").join(b, "b").where(near(F.col("m"), F.col("n"), similarity))
+    both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
+    joint = joint.withColumn("both", both).where(1000 * F.col("both") >= round(1000 * similarity) * (F.col("m") + F.col("n") - F.col("both")))
+    return joint.select("a", "b")
+
+
+def links(met: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of similar lines of buckets (key, a, b); `lines` has (h, line, size) of all of them."""
+    star = met.where("a <> b").select("a", "b").distinct()
+    found = staged(verified(star, lines, similarity), "links")
+    named = components(found, "lines")
+    others = met.where("a <> b").join(named.withColumnRenamed("node", "b"), "b", "left")
+    parts = staged(others.select("key", F.col("b").alias("h"), F.coalesce("component", "b").alias("c")), "placed")
+    split = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rest = parts.join(split, "key")
+    some = lines.join(rest.select("h").distinct(), "h", "left_semi")
+    some = some.select("h", "size", F.array_distinct(F.flatten(bands_of(hashes(F.col("line"))))).alias("sketch"))
+    rest = staged(rest.join(some, "h"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.c") != F.col("y.c"))
-    pairs = x.join(y, apart).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-    return found.unionByName(staged(verified(pairs, texts, similarity), "links"))
+    # The sketches, of BANDS * ROWS hashes, tell the similarity but for chance; what may reach it is compared itself.
+    both, all_of = F.size(F.array_intersect("x.sketch", "y.sketch")), F.size("x.sketch") + F.size("y.sketch")
+    shared = both >= (similarity - SLACK) * (all_of - both)
+    fits = near(F.col("x.size"), F.col("y.size"), similarity) & shared
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
+    pairs = x.join(y, apart & fits).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
+    more = staged(verified(pairs, lines, similarity), "links")
+    for df in (parts, rest):
+        discard(df)
+    return found.unionByName(more)
 
 
 def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
-    """(id, k, gone): the positions of the lines to remove from documents (id, k, text)."""
+    """(id, k, o, gone): the positions of the lines to remove from documents (id, k, o, text)."""
     lines = lines_of(docs)
-    distinct = staged(lines.groupBy("h", "line").agg(F.count("*").alias("n")), "distinct")
-    bands = staged(band_keys(distinct), "bands")
-    met = staged(buckets(bands), "buckets")
-    discard(bands)
-    texts = staged(distinct.join(met.select(F.col("b").alias("h")).distinct(), "h", "left_semi").select("h", "line"), "lines")
-    linked = components(links(met, texts, similarity), "lines")
-    # Lines that repeat without a link are components of their own.
-    again = distinct.where("n > 1").select(F.col("h").alias("node"))
-    alone = again.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
-    named = linked.unionByName(alone).select(F.col("node").alias("h"), "component")
-    places = staged(lines.select("id", "k", "pos", "h").join(named, "h").drop("h"), "places")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "pos")
-    first = places.groupBy("component").agg(F.min(order).alias("first"))
-    rest = places.join(first, "component").where(order != F.col("first"))
-    return rest.groupBy("id", "k").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "o", "pos")
+    distinct = lines.groupBy("h", "line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    distinct = staged(signed(distinct), "distinct")
+    met = staged(buckets(distinct), "buckets")
+    texts = distinct.join(met.select(F.col("b").alias("h")).distinct(), "h", "left_semi").select("h", "line", "size")
+    texts = staged(texts, "lines")
+    linked = components(links(met, texts, similarity), "lines").withColumnRenamed("node", "h")
+    # The first line of each component; a line that only repeats is a component of its own.
+    own = distinct.select("h", "n", "first").join(linked, "h", "left").where("n > 1 or component is not null")
+    own = staged(own.select("h", "first", F.coalesce("component", "h").alias("component")), "own")
+    firsts = own.groupBy("component").agg(F.min("first").alias("least"))
+    kept = staged(own.join(firsts, "component").select("h", "least"), "firsts")
+    rest = lines.join(kept, "h").where(place != F.col("least"))
+    gone = rest.groupBy("id", "k", "o").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    for df in (distinct, met, texts, own):
+        discard(df)
+    return gone
 
 
 def dedupe_lines(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None
 ) -> DataFrame:
     """Documents with every line removed that equals or nearly equals another one, but for one line per component: the
-    first by id and position (null ids last). All documents and columns stay; `counts` names two more
-    columns for the numbers of lines and of removed lines.
+    first by id (null ids last), text and position. All documents and columns stay; `counts` names two more columns for
+    the numbers of lines and of removed lines, which replace columns of these names.
 
-    Lines end with a line feed. Blank lines stay, null and empty texts stay as they are, a text may end up empty.
-    Rows that share an id are told apart by their texts; rows alike in both are treated alike.
+    Lines end with a line feed. Lines of ASCII white space alone stay, null and empty texts stay as they are, a text may
+    end up empty. Rows that share an id are told apart by their texts and other columns; of rows alike in all of them one
+    keeps its first lines, and all lines of the others repeat those. A line and its shingles are held at once in memory.
     """
     prefix = unused(docs)
-    key = F.xxhash64(F.col(text))
-    found = repeated_lines(docs.select(F.col(id_col).alias("id"), key.alias("k"), F.col(text).alias("text")), similarity)
-    found = found.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("id", "k", "gone")])
-    same = F.col(id_col).eqNullSafe(F.col(f"{prefix}id")) & (key == F.col(f"{prefix}k"))
-    rows = docs.join(found, same, "left").withColumn(f"{prefix}lines", F.split(text, "\n"))
-    lines, gone = F.col(f"{prefix}lines"), F.col(f"{prefix}gone")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    body = F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    key, other = F.xxhash64(F.col(text)), F.xxhash64(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("k"), other.alias("o"), F.col(text).alias("text"))
+    found = repeated_lines(rows, similarity)
+    again = rows.groupBy("id", "k", "o").agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("again", F.lit(True))
+    keys = ["id", "k", "o"]
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
+    marked = found.alias("x").join(again.alias("y"), same, "full").select(
+        *[F.coalesce(f"x.{c}", f"y.{c}").alias(f"{prefix}{c}") for c in keys],
+        F.coalesce("gone", F.array().cast("array<int>")).alias(f"{prefix}gone"),
+        F.coalesce("again", F.lit(False)).alias(f"{prefix}again"),
+    )
+    marked = staged(marked, "gone")
+    hit = F.col(id_col).eqNullSafe(F.col(f"{prefix}id")) & (key == F.col(f"{prefix}k")) & (other == F.col(f"{prefix}o"))
+    joint = docs.join(marked, hit, "left")
+    once = joint.where(F.coalesce(F.col(f"{prefix}again"), F.lit(False)) == F.lit(False)).select(*docs.columns, F.col(f"{prefix}gone"))
+    # Rows alike in everything, of which one stays as it is left, are the same row: one of them and their number.
+    whole = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{prefix}gone"))).alias(f"{prefix}row")
+    groups = joint.where(F.col(f"{prefix}again")).groupBy(*[f"{prefix}{c}" for c in keys]).agg(whole, F.count("*").alias(f"{prefix}n"))
+    copies = groups.select(f"{prefix}row.*", F.explode(F.sequence(F.lit(1), F.col(f"{prefix}n").cast("int"))).alias(f"{prefix}copy"))
+    lines = F.split(text, "\n")
+    filled = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(BLANK)) != "")
+    gone = F.when(F.col(f"{prefix}copy") > 1, filled).otherwise(F.col(f"{prefix}gone"))
+    every = once.unionByName(copies.withColumn(f"{prefix}gone", gone).drop(f"{prefix}copy"))
+
+    def left(lines, gone):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    gone = F.col(f"{prefix}gone")
+    body = F.when(gone.isNull() | (F.size(gone) == 0), F.col(text)).otherwise(left(lines, gone))
     more = {} if counts is None else {
-        counts[0]: F.coalesce(F.greatest(F.size(lines), F.lit(0)), F.lit(0)).cast("bigint"),
+        counts[0]: F.coalesce(F.size(lines), F.lit(0)).cast("bigint"),
         counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("bigint"),
     }
-    return rows.select(*[body.alias(c) if c.lower() == text.lower() else F.col(c) for c in docs.columns], *[c.alias(n) for n, c in more.items()])
+    new = {n.lower() for n in more}
+    columns = [body.alias(c) if c == text else F.col(c) for c in docs.columns if c.lower() not in new]
+    return every.select(*columns, *[c.alias(n) for n, c in more.items()])
