@@ -87,25 +87,24 @@ def test_simhash_components(docs):
     assert simhash.near_duplicates(docs()).count() == 0
 
 
-def test_simhash_large_groups_look_up_neighbours():
+def test_simhash_groups_equal_all_pairs():
     r = random.Random(5)
     centre = r.getrandbits(64)
-    prints = np.array([centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for _ in range(3000)], np.uint64)
-    few = simhash.PAIRWISE
-
-    def groups(size):
-        simhash.PAIRWISE = size
-        try:
-            links = simhash.links_of(prints)
-        finally:
-            simhash.PAIRWISE = few
-        name = {int(p): int(p) for p in prints}
-        for _ in range(30):
-            for a, b in links:
-                name[int(a)] = name[int(b)] = min(name[int(a)], name[int(b)])
-        return name
-
-    assert groups(10) == groups(10**9)
+    for size in (2, 40, 1200):
+        prints = np.array([centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for _ in range(size)], np.uint64)
+        links = [(int(a), int(b)) for a, b in simhash.links_of(prints)]
+        assert all((a ^ b).bit_count() <= 2 for a, b in links)
+        every = sorted({int(p) for p in prints})
+        near = [(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if (a ^ b).bit_count() <= 2]
+
+        def named(pairs):
+            name = {p: p for p in every}
+            for _ in range(40):
+                for a, b in pairs:
+                    name[a] = name[b] = min(name[a], name[b])
+            return name
+
+        assert named(links) == named(near)
 
 
 def test_every_close_half_shares_an_anchor():

@@ -12,15 +12,14 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import extend, staged, unused
 
-#: Bounds of the model: labelled documents that are read (expected number), and entries kept per language and length.
+#: Bound of the model: labelled documents that are read (expected number). All their words and n-grams are kept.
 TRAINING_ROWS = 20_000
-WORDS_KEPT = 20_000
-GRAMS_KEPT = 20_000
 LONGEST = 4
 #: Words that a task remembers between documents.
 REMEMBERED = 200_000
@@ -28,43 +27,54 @@ UNKNOWN = "und"
 #: Documents whose words support the prediction less than this are rejected.
 LEAST_SCORE = 0.5
 
-WORD = re.compile(r"[^\W\d_]+")
+# Words are runs of letters. The first pattern takes some numerals too, such as fractions, which only few words hold.
+WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 # The same words in Spark's expressions.
 WORD_SQL = r"\p{L}+"
 
 
+def words_of(text: str) -> Counter[str]:
+    found = Counter(WORD.findall(text.lower()))
+    for mixed in [w for w in found if not w.isalpha()]:
+        n = found.pop(mixed)
+        for word in LETTERS.findall(mixed):
+            found[word] += n
+    return found
+
+
 class Model:
-    """Log frequencies by language: `words` and `grams[n]` give a row of one value per language."""
+    """Log frequencies by language: `places[n]` tells the row of an entry in `values[n]`; 0 has words, n the n-grams."""
 
     def __init__(self, counts: dict[int, dict[str, dict[str, int]]]):
         """counts[0] has words, counts[n] n-grams: language -> entry -> count."""
         self.langs = sorted({lang for table in counts.values() for lang in table})
-        self.tables = {size: self.logs(counts.get(size, {})) for size in range(LONGEST + 1)}
+        self.places: dict[int, dict[str, int]] = {}
+        self.values: dict[int, np.ndarray] = {}
+        for size in range(LONGEST + 1):
+            self.add(size, counts.get(size, {}))
         self.seen: dict[str, np.ndarray | None] = {}
 
-    def logs(self, table: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
+    def add(self, size: int, table: dict[str, dict[str, int]]) -> None:
         entries = sorted({e for of in table.values() for e in of})
         values = np.array([[table.get(lang, {}).get(e, 0) for lang in self.langs] for e in entries], float)
-        if not entries:
-            return {}
-        smooth = np.log((values + 0.5) / (values.sum(0) + 0.5 * len(entries)))
-        return dict(zip(entries, smooth))
+        self.places[size] = {e: i for i, e in enumerate(entries)}
+        self.values[size] = np.log((values + 0.5) / (values.sum(0) + 0.5 * len(entries))) if entries else values
 
     def word(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, by backing off to ever shorter n-grams; None if not one letter is known."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+        if (known := self.places[0].get(word)) is not None:
+            return self.values[0][known]
         marked = f" {word} "
         for size in range(LONGEST, 0, -1):
-            table = self.tables[size]
-            found = [x for i in range(len(marked) - size + 1) if (x := table.get(marked[i : i + size])) is not None]
+            places = self.places[size]
+            found = [x for i in range(len(marked) - size + 1) if (x := places.get(marked[i : i + size])) is not None]
             if found:
-                return np.mean(found, axis=0) * 2
+                return self.values[size][found].mean(axis=0) * 2
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and the share of the words' evidence that speaks for it."""
-        words = Counter(WORD.findall(text.lower())) if text else {}
+        """The language and the share of the words' evidence that speaks for it; of equal languages the first by name."""
+        words = words_of(text) if text else {}
         if not words:
             return UNKNOWN, 0.0
         if len(self.seen) > REMEMBERED:
@@ -85,12 +95,6 @@ class Model:
         return self.langs[best], float(min(1.0, weight @ share[:, best] / weight.sum()))
 
 
-def top_counts(entries: DataFrame, kept: int) -> DataFrame:
-    """(lang, size, entry, n): the most frequent entries of each language and length, ties by text."""
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry")
-    return entries.withColumn("place", F.row_number().over(order)).where(F.col("place") <= kept).drop("place")
-
-
 def grams_of(marked, size: int) -> F.Column:
     last = F.greatest(F.lit(1), F.length(marked) + 1 - size)
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(marked, i, F.lit(size)))
@@ -114,10 +118,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
         cut = F.explode(grams_of(F.concat(F.lit(" "), "entry", F.lit(" ")), size)).alias("entry")
         one = words.select("lang", F.lit(size).alias("size"), cut).groupBy("lang", "size", "entry").agg(F.count("*").alias("n"))
         grams = one if grams is None else grams.unionByName(one)
-    entries = top_counts(words.withColumn("size", F.lit(0)), WORDS_KEPT).unionByName(top_counts(grams, GRAMS_KEPT))
+    # Bounded by the sample: some hundred thousand entries, which come as columns.
+    entries = words.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(grams).toArrow()
     counts: dict[int, dict[str, dict[str, int]]] = {}
-    for r in entries.collect():
-        counts.setdefault(r["size"], {}).setdefault(r["lang"], {})[r["entry"]] = r["n"]
+    for size, lang, entry, n in zip(*(entries.column(c).to_pylist() for c in ("size", "lang", "entry", "n"))):
+        counts.setdefault(size, {}).setdefault(lang, {})[entry] = n
     return Model(counts)
 
 
@@ -127,8 +132,8 @@ def predict(
     """Documents with the predicted language and a score from 0 to 1, from their whole texts alone.
 
     Null texts and texts without a letter are `und` with score 0; so is everything if the model has no language.
-    Columns of the results' names are replaced. No shuffle; the model is broadcast, its size is bounded by
-    WORDS_KEPT and GRAMS_KEPT per language.
+    Columns of the results' names are replaced. Repeated rows and very long texts are predicted like any other. No
+    shuffle; the model is broadcast, its size is bounded by the sample it was trained on.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -154,10 +159,14 @@ def for_training(id_col: str = "doc_id") -> F.Column:
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Documents in one of the learned languages; those without letters, or whose words do not speak clearly
-    enough for any one language, go. All columns stay as they are."""
+    """Documents in one of the learned languages; those without letters (null and empty texts among them), or whose
+    words do not speak clearly enough for any one language, go. Where no document has a language nothing is learned, and
+    all documents with letters stay. All columns stay as they are; ids may be null or repeat, rows are judged one by one.
+    """
     prefix = unused(docs)
     model = train(docs.where(for_training(id_col)), text, lang, id_col=id_col)
+    if not model.langs:
+        return docs.where(F.col(text).rlike(WORD_SQL))
     found = predict(docs, model, text, (f"{prefix}lang", f"{prefix}score"))
     clear = (F.col(f"{prefix}lang") != UNKNOWN) & (F.col(f"{prefix}score") >= LEAST_SCORE)
     return found.where(clear).select(*docs.columns)

@@ -38,28 +38,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def hashes(line: Column) -> Column:
     """The different shingles of a line as hashes; a shorter line is its own."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({'.' * SHINGLE}))"), F.lit(1))
     every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
 
 
-def bands_of(found: Column) -> Column:
-    """The hashes of each band, from the different hashes of a line."""
-    ring = F.sort_array(F.concat(found, F.array(*[F.lit(m) for m in MARKS])))
-    ring = F.concat(ring, F.slice(ring, 1, ROWS))  # the first hashes follow the last ones
-    bands = lambda r: F.array(*[F.slice(r, F.array_position(r, F.lit(m)) + 1, ROWS) for m in MARKS])
-    return F.get(F.transform(F.array(ring), bands), F.lit(0))
+def with_bands(lines: DataFrame) -> DataFrame:
+    """Lines (h, line, ...) with `size`, the number of their different shingles, and `bands`, the hashes of each band."""
+    # Step by step, so that no step is worked out twice and sorting is compiled for plain numbers.
+    found = lines.withColumn("found", hashes(F.col("line")))
+    ring = found.withColumn("size", F.size("found")).withColumn("ring", F.sort_array(F.concat("found", F.array(*[F.lit(m) for m in MARKS]))))
+    ring = ring.withColumn("ring", F.concat("ring", F.slice("ring", 1, ROWS)))  # the first hashes follow the last ones
+    bands = [F.slice("ring", F.array_position("ring", F.lit(m)) + 1, ROWS) for m in MARKS]
+    return ring.withColumn("bands", F.array(*bands)).drop("found", "ring")
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """Lines (h, line, ...) with the number of their different shingles and the key of each band."""
-
-    def keys(found):
-        named = F.transform(bands_of(found), lambda band, b: F.xxhash64(band, b))
-        return F.struct(F.size(found).alias("size"), named.alias("keys"))
-
-    own = F.get(F.transform(F.array(hashes(F.col("line"))), keys), F.lit(0))
-    return lines.withColumn("own", own).select(*lines.columns, "own.size", "own.keys")
+    """Lines (h, line, ...) with `size` and the key of each band."""
+    named = F.array(*[F.xxhash64(F.get("bands", F.lit(b)), F.lit(b)) for b in range(BANDS)])
+    return with_bands(lines).withColumn("keys", named).drop("bands")
 
 
 def buckets(lines: DataFrame) -> DataFrame:
@@ -97,7 +94,7 @@ def links(met: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     split = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     rest = parts.join(split, "key")
     some = lines.join(rest.select("h").distinct(), "h", "left_semi")
-    some = some.select("h", "size", F.array_distinct(F.flatten(bands_of(hashes(F.col("line"))))).alias("sketch"))
+    some = with_bands(some.select("h", "line")).select("h", "size", F.array_distinct(F.flatten("bands")).alias("sketch"))
     rest = staged(rest.join(some, "h"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     # The sketches, of BANDS * ROWS hashes, tell the similarity but for chance; what may reach it is compared itself.

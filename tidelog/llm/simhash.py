@@ -27,8 +27,6 @@ SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
 RADIUS = 1  # of the covering code
-#: Beyond this size a group looks up all neighbours of a fingerprint rather than comparing all pairs of a block.
-PAIRWISE = 2048
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -102,8 +100,8 @@ NEIGHBOURS = np.array(
 def links_of(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links that join all fingerprints of one anchor that are within the threshold, at most one per fingerprint.
 
-    Each comparison is of one fingerprint with the group or, in a large group, of its 2,081 possible neighbours
-    with the sorted group, so that the work per fingerprint is bounded.
+    Of each fingerprint its 2,081 possible neighbours are looked up in the sorted group, so that the work per
+    fingerprint is bounded whatever the group's size.
     """
     prints = np.unique(prints)
     parent = np.arange(len(prints))
@@ -116,12 +114,9 @@ def links_of(prints: np.ndarray) -> list[tuple[int, int]]:
 
     out = []
     for i, own in enumerate(prints):
-        if len(prints) <= PAIRWISE:
-            near = i + 1 + np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ own) <= THRESHOLD)
-        else:
-            wanted = own ^ NEIGHBOURS
-            place = np.minimum(np.searchsorted(prints, wanted), len(prints) - 1)
-            near = place[prints[place] == wanted]
+        wanted = own ^ NEIGHBOURS
+        place = np.minimum(np.searchsorted(prints, wanted), len(prints) - 1)
+        near = place[prints[place] == wanted]
         for j in near.tolist():
             a, b = root(i), root(j)
             if a != b:

@@ -1,10 +1,11 @@
 """URL filters by a path-template tree.
 
 Per host, paths are cut into segments; variable segments (numbers, long or mixed identifiers) become wildcards. A
-path's templates are its prefixes of up to DEPTH segments, from the bare host down. Labelled pages give each template
-its numbers of good and bad pages; branches are merged with their siblings where their shares of bad pages do not
-differ by more than chance. A page is rejected when the deepest of its templates with evidence has a
-smoothed share of bad pages above the limit; the smoothing pulls a template towards its parent, and a host towards all.
+path's templates are all its prefixes, from the bare host down to the whole path. Labelled pages give each template its
+numbers of good and bad pages. Siblings whose shares of bad pages lie above, within or below what chance allows around
+their family's share are one branch each, and a template that does not differ from its branch by more than chance takes
+the branch's numbers. A page is rejected when the deepest of its templates with evidence has a smoothed share of bad
+pages above the limit; the smoothing pulls a template towards its parent, and a host towards all.
 
 Built of DataFrame functions only.
 """
@@ -16,12 +17,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import staged
 
-DEPTH = 4
 #: Weight of the parent's share in a template's own, in pages.
 PRIOR = 10.0
 #: Smoothed share of bad pages above which a template is rejected.
 LIMIT = 0.5
-#: Siblings merge when their share differs from the parent's by at most so many standard errors.
+#: Shares that differ by at most so many standard errors are alike.
 ERRORS = 2.0
 
 # Fixed values: (verdict, host, path prefix).
@@ -66,7 +66,7 @@ def general(segment) -> F.Column:
 def templates(host, path) -> F.Column:
     """The templates of a path, bare host first: an array of (depth, template, parent)."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    marked = F.transform(F.slice(parts, 1, DEPTH), general)
+    marked = F.transform(parts, general)
     name = lambda d: F.concat_ws("/", host, F.slice(marked, 1, d))
     return F.transform(
         F.sequence(F.lit(0), F.size(marked)),
@@ -78,38 +78,35 @@ def templates(host, path) -> F.Column:
     )
 
 
+def alike(n, bad, n_all, bad_all) -> F.Column:
+    """Whether a share differs from that of all by no more than chance; the larger it is, the less it may."""
+    mean = bad_all / n_all
+    error = F.sqrt((mean * (1 - mean) + F.lit(0.25) / n_all) / n)
+    return F.coalesce(F.abs(bad / n - mean) <= ERRORS * error, F.lit(False))
+
+
 def tree(labelled: DataFrame) -> DataFrame:
-    """(template, target, share): the smoothed share of bad pages of every template seen in labelled pages.
+    """(template, depth, n, bad): the pages of every template seen in labelled pages, or those of its branch.
 
     `labelled` has host, path and bad (boolean). Counts are combined inside tasks, so a host with a third of all
-    pages moves as one row per task and template. A template whose share does not differ from that of its siblings
-    together by more than ERRORS standard errors takes their share (the branch is merged).
+    pages moves as one row per task and template.
     """
     steps = labelled.select(F.explode(templates(F.col("host"), F.col("path"))).alias("t"), F.col("bad").cast("int").alias("bad"))
     counts = steps.groupBy("t.depth", "t.template", "t.parent").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     counts = staged(counts, "templates")
-    total = counts.where("depth = 0").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"))
-    family = counts.where("parent is not null").groupBy("parent").agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
-    joined = counts.join(family, "parent", "left")
-    mean = F.col("bad_all") / F.col("n_all")
-    error = F.sqrt((mean * (1 - mean) + F.lit(0.25) / F.col("n_all")) / F.col("n"))
-    alike = F.coalesce(F.abs(F.col("bad") / F.col("n") - mean) <= ERRORS * error, F.lit(False))
-    joined = joined.select(
-        "depth", "template", "parent",
-        F.when(alike, F.col("n_all")).otherwise(F.col("n")).alias("n"),
-        F.when(alike, F.col("bad_all")).otherwise(F.col("bad")).alias("bad"),
+    inner = counts.where("parent is not null")
+    sums = [F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all")]
+    own = (F.col("n"), F.col("bad"), F.col("n_all"), F.col("bad_all"))
+    family = inner.groupBy("parent").agg(*sums)
+    side = F.when(alike(*own), 0).when(F.col("bad") / F.col("n") > F.col("bad_all") / F.col("n_all"), 1).otherwise(-1)
+    sided = inner.join(family, "parent").withColumn("side", side).drop("n_all", "bad_all")
+    branches = sided.groupBy("parent", "side").agg(*sums)
+    merged = sided.join(branches, ["parent", "side"]).select(
+        "template", "depth",
+        F.when(alike(*own), F.col("n_all")).otherwise(F.col("n")).alias("n"),
+        F.when(alike(*own), F.col("bad_all")).otherwise(F.col("bad")).alias("bad"),
     )
-    shares = joined.where("depth = 0").join(F.broadcast(total)).select(
-        "template", ((F.col("bad") + PRIOR * F.col("overall")) / (F.col("n") + PRIOR)).alias("share")
-    )
-    levels = shares
-    for depth in range(1, DEPTH + 1):
-        above = shares.select(F.col("template").alias("parent"), F.col("share").alias("prior"))
-        shares = joined.where(F.col("depth") == depth).join(above, "parent").select(
-            "template", ((F.col("bad") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)).alias("share")
-        )
-        levels = levels.unionByName(shares)
-    return levels
+    return merged.unionByName(counts.where("parent is null").select("template", "depth", "n", "bad"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -117,11 +114,12 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url: s
 
     `labelled` has columns url and bad (boolean; nulls are left out). A null url or one without :// has an empty host
     and path and fits no rule. A page none of whose templates is labelled is allowed. Repeated rows and ids get a row
-    each.
+    each; other columns are not read.
     """
     known = labelled.where(F.col("bad").isNotNull() & F.col("url").isNotNull())
     known = known.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "bad")
-    shares = tree(known)
+    known = staged(tree(known), "tree")
+    hosts = known.where("depth = 0").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col), F.col(url).alias("url_")).select(
         F.col(id_col), host_of(F.col("url_")).alias("host"), path_of(F.col("url_")).alias("path")
@@ -131,7 +129,10 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url: s
     chain = F.transform(templates(F.col("host"), F.col("path")), lambda t: t.template)
     rows = rows.withColumn("leaf", F.element_at(chain, -1))
     leaves = rows.where("said is null").select("leaf", F.posexplode(chain).alias("depth", "template")).distinct()
-    found = leaves.join(shares, "template").groupBy("leaf").agg(F.max_by("share", "depth").alias("share"))
+    # A labelled template's parents are labelled too: the numbers from the host down to the deepest known template.
+    steps = leaves.drop("depth").join(known, "template").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "n", "bad"))).alias("steps"))
+    share = F.aggregate("steps", F.col("overall"), lambda above, t: (t.bad + PRIOR * above) / (t.n + PRIOR))
+    found = steps.withColumn("overall", hosts.scalar()).select("leaf", share.alias("share"))
     bad = found.where(F.col("share") > LIMIT).select("leaf", F.lit("block").alias("learned"))
     return rows.join(bad, "leaf", "left").select(
         id_col, "host", "path", "rule", F.coalesce("said", "learned", F.lit("allow")).alias("verdict")
