@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, langid, lines, pieces, similar
+from tidelog.llm import decontaminate, langid, lines, pieces, simhash
 from tidelog.llm.common import prepare, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,9 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles alike by 0.8 or more."""
+    """One document of each group of near-duplicates: fingerprints of three-word shingles within two bits."""
     prepare(spark)
-    return similar.keep_firsts(docs)
+    return simhash.keep_firsts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
