@@ -146,12 +146,14 @@ def test_url_tree_equals_a_plain_tree(spark):
         parts = parts[: r.randrange(6)]
         bad = r.random() < (0.95 if parts[4:] == ["deep"] and parts[0] == "blog" else 0.6 if parts[1:2] == ["v"] and host == "b.net" else 0.1)
         labelled.append((f"http://{host}/{'/'.join(parts)}", bad))
-    pages = sorted({u for u, _ in labelled}) + ["http://a.net/blog/u/p/m/deep/further/9", "http://new.net/blog", "https://B.net/shop?x=/v"]
+    labelled += [(f"http://d.net/blog/u/p/m/{last}", last == "deep") for last in ("deep", "fine") for _ in range(100)]
+    pages = sorted({u for u, _ in labelled}) + ["http://d.net/blog/u/p/m/deep/further/9", "http://new.net/blog", "https://B.net/shop?x=/v"]
     rows = spark.createDataFrame(list(enumerate(pages)) + [(-1, None), (-2, "none"), (-3, pages[0])], "page_id bigint, url string")
     found = {x.page_id: x for x in urls.judge(rows, spark.createDataFrame(labelled + [(None, True), ("http://a.net", None)], "url string, bad boolean"), rules=()).collect()}
     want = plain_verdicts([u.replace("B.net", "b.net") for u in pages], labelled)
     assert [found[i].verdict for i in range(len(pages))] == want
-    assert {"block", "allow"} == set(want) and found[pages.index("http://a.net/blog/u/p/m/deep/further/9")].verdict == "block"
+    assert {"block", "allow"} == set(want) and found[pages.index("http://d.net/blog/u/p/m/deep/further/9")].verdict == "block"
+    assert found[pages.index("http://d.net/blog/u/p/m/fine")].verdict == "allow"  # only the fifth segment differs
     assert (found[-1].host, found[-1].path, found[-1].verdict) == ("", "", "allow") and found[-2].host == ""
     assert urls.judge(rows.limit(0), spark.createDataFrame([], "url string, bad boolean")).count() == 0
 
