@@ -1,13 +1,13 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions.
+"""Fuzzy line dedup by MinHash.
 
-A line's signature comes from the hashes of all its shingles of SHINGLE characters, each hashed once. The hashes lie on a
-ring with BANDS fixed marks; a band is the ROWS hashes that follow its mark, the minima of the permutation that begins
-there. Bands of lines with 20 shingles or more hardly share hashes: two lines with a similarity of 0.8 share a band in 96
-of 100 cases, with 0.85 in more than 99.
+A line's signature is over all its shingles of SHINGLE characters. Each of BANDS * ROWS minima has a permutation of its own:
+lines with one equal band meet in a bucket, 96% of those with a similarity of 0.8 and 99.5% of those with 0.87.
+Signatures are worked out in Python on Arrow batches, once per distinct line, since built-in functions take several times
+as long for one hash per shingle alone; all else is DataFrame functions.
 
 Each line of a bucket is compared with the bucket's least line: the sizes of both sets of shingles first, then the Jaccard
 similarity itself. Links make components by rounds of star operations in tables. Lines of one bucket that are in different
-components by then are matched by their sketches, the hashes of all bands; only pairs whose sketches agree as those of
+components by then are matched by their sketches, the hashes that follow eight marks on the ring of all hashes; only pairs whose sketches agree as those of
 similar lines do leave that join, and are compared in turn. So copies of one line, in any number, make no pairs; unlike
 lines of one template are matched with one another inside their bucket, which costs time but no rows.
 
@@ -16,10 +16,13 @@ Every component keeps its first line. Lines are named by a 64-bit hash.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, discard, staged, unused
+from tidelog.llm.common import components, discard, extend, staged, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,6 +30,9 @@ BANDS, ROWS = 8, 5
 MARKS = [-(2**63) + band * (2**64 // BANDS) for band in range(BANDS)]
 #: How far below the similarity the one that sketches tell may be.
 SLACK = 0.3
+ODD = np.array([xxhash.xxh64_intdigest(bytes([j])) | 1 for j in range(BANDS * ROWS)], np.uint64)
+SALT = np.array([xxhash.xxh64_intdigest(bytes([j]), 1) for j in range(BANDS * ROWS)], np.uint64)
+FACTORS = [np.uint64(xxhash.xxh64_intdigest(bytes([j]), 2) | 1) for j in range(SHINGLE)]
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -53,10 +59,53 @@ def with_bands(lines: DataFrame) -> DataFrame:
     return ring.withColumn("bands", F.array(*bands)).drop("found", "ring")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of different shingles of some lines, and their keys, a row per band."""
+    padded = [t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in lines]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - SHINGLE + 1
+    found = np.zeros(n, np.uint64)
+    for j, factor in enumerate(FACTORS):
+        found += codes[j : j + n] * factor
+    # Shingles do not run over the end of their line.
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(codes), bool)
+    for j in range(1, SHINGLE):
+        inside[ends - j] = False
+    found = mixed(found[inside[:n]])
+    counts = sizes - SHINGLE + 1
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    of = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((found, of))
+    new = np.concatenate(([True], (np.diff(found[order]) != 0) | (np.diff(of[order]) != 0)))
+    keys = np.empty((BANDS, len(lines)), np.uint64)
+    for band in range(BANDS):
+        keys[band] = band
+        for j in range(band * ROWS, (band + 1) * ROWS):
+            keys[band] = mixed(keys[band] * FACTORS[0] + np.minimum.reduceat((found ^ SALT[j]) * ODD[j], first))
+    return np.bincount(of[order][new], minlength=len(lines)), keys.view(np.int64)
+
+
 def signed(lines: DataFrame) -> DataFrame:
-    """Lines (h, line, ...) with `size` and the key of each band."""
-    named = F.array(*[F.xxhash64(F.get("bands", F.lit(b)), F.lit(b)) for b in range(BANDS)])
-    return with_bands(lines).withColumn("keys", named).drop("bands")
+    """Lines (line, ...) with `size`, the number of their different shingles, and the key of each band."""
+
+    def start():
+        def work(texts):
+            if not texts:
+                return [[], []]
+            sizes, keys = signatures(texts)
+            ends = np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32)
+            return [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(keys.T).ravel()))]
+
+        return work
+
+    return extend(lines, ["line"], start, "size int, keys array<bigint>")
 
 
 def buckets(lines: DataFrame) -> DataFrame:
