@@ -79,3 +79,15 @@ def test_a_templated_family(spark):
                 name[root(i)] = root(j)
     want = len(sets) - len({root(i) for i in range(len(sets))})
     assert want > 500 and 0.97 * want <= got <= want, (got, want)
+
+
+def test_signatures_and_checks_are_built_in(spark, capsys):
+    rows = spark.createDataFrame([(1, "one line of text"), (2, "one line of texts")], "h bigint, line string")
+    pairs = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
+    found = lines.signed(rows)
+    texts = rows.join(found.select("h", "sketch"), "h")
+    for df in (found, lines.verified(pairs, texts, 0.8)):
+        df.explain()
+        assert not any(word in capsys.readouterr().out for word in ("Arrow", "Python", "Pandas"))
+    # 12 shingles and 13, of which 12 are shared.
+    assert lines.verified(pairs, texts, 0.92).count() == 1 and lines.verified(pairs, texts, 0.93).count() == 0

@@ -1,38 +1,39 @@
-"""Fuzzy line dedup by MinHash.
+"""Fuzzy line dedup by MinHash, in built-in functions.
 
-A line's signature is over all its shingles of SHINGLE characters. Each of BANDS * ROWS minima has a permutation of its own:
-lines with one equal band meet in a bucket, 96% of those with a similarity of 0.8 and 99.5% of those with 0.87.
-Signatures are worked out in Python on Arrow batches, once per distinct line, since built-in functions take several times
-as long for one hash per shingle alone; all else is DataFrame functions.
+A line's signature is over all its shingles of SHINGLE characters: BANDS * ROWS minima, one aggregate each over the
+exploded shingles, which are cut from fixed-width code points by position. Lines with one equal band meet in a bucket, 96% of
+those with a similarity of 0.8 and 99.5% of those with 0.87.
 
-Each line of a bucket is compared with the bucket's least line: the sizes of both sets of shingles first, then the Jaccard
-similarity itself. Links make components by rounds of star operations in tables. Lines of one bucket that are in different
-components by then are matched by their sketches, the hashes that follow eight marks on the ring of all hashes; only pairs whose sketches agree as those of
-similar lines do leave that join, and are compared in turn. So copies of one line, in any number, make no pairs; unlike
-lines of one template are matched with one another inside their bucket, which costs time but no rows.
+Lines of a bucket are linked in rounds. Each round compares every line with one line of its bucket that is in another
+component, the centre, a different one every time from the bucket's largest component. So copies and near copies of one
+line, in any number, make a row a line. Lines that are in different components of one bucket after ROUNDS rounds are all
+compared with one another inside a join, by a few bits of their minima and then by their sets of 32-bit shingle hashes: only
+pairs as similar as asked for leave it. All pairs, of rounds and of this join, are verified by their exact Jaccard
+similarity. Unlike lines of one template thus cost the square of their number in comparisons, but make no rows.
 
 Every component keeps its first line. Lines are named by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, discard, extend, staged, unused
+from tidelog.llm.common import components, discard, staged, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 5
-MARKS = [-(2**63) + band * (2**64 // BANDS) for band in range(BANDS)]
-#: How far below the similarity the one that sketches tell may be.
-SLACK = 0.3
-ODD = np.array([xxhash.xxh64_intdigest(bytes([j])) | 1 for j in range(BANDS * ROWS)], np.uint64)
-SALT = np.array([xxhash.xxh64_intdigest(bytes([j]), 1) for j in range(BANDS * ROWS)], np.uint64)
-FACTORS = [np.uint64(xxhash.xxh64_intdigest(bytes([j]), 2) | 1) for j in range(SHINGLE)]
+#: Bits kept of each minimum in a sketch, and the longs that hold those of the bands.
+BITS = 4
+FEW = -(-BANDS * ROWS * BITS // 64)
+ROUNDS = 2
+#: How far below the similarity the one told by the bands' minima or by sets of 32-bit hashes may be: over four standard
+#: deviations, and more than a few equal hashes of unlike shingles make.
+SLACK_FEW, SLACK = 0.3, 0.01
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -42,132 +43,150 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.btrim("line", F.lit(BLANK)) != "").withColumn("h", F.xxhash64("line"))
 
 
-def hashes(line: Column) -> Column:
-    """The different shingles of a line as hashes; a shorter line is its own."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({'.' * SHINGLE}))"), F.lit(1))
-    every = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
-    return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
-
-
-def with_bands(lines: DataFrame) -> DataFrame:
-    """Lines (h, line, ...) with `size`, the number of their different shingles, and `bands`, the hashes of each band."""
-    # Step by step, so that no step is worked out twice and sorting is compiled for plain numbers.
-    found = lines.withColumn("found", hashes(F.col("line")))
-    ring = found.withColumn("size", F.size("found")).withColumn("ring", F.sort_array(F.concat("found", F.array(*[F.lit(m) for m in MARKS]))))
-    ring = ring.withColumn("ring", F.concat("ring", F.slice("ring", 1, ROWS)))  # the first hashes follow the last ones
-    bands = [F.slice("ring", F.array_position("ring", F.lit(m)) + 1, ROWS) for m in MARKS]
-    return ring.withColumn("bands", F.array(*bands)).drop("found", "ring")
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(31))
-
-
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of different shingles of some lines, and their keys, a row per band."""
-    padded = [t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in lines]
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - SHINGLE + 1
-    found = np.zeros(n, np.uint64)
-    for j, factor in enumerate(FACTORS):
-        found += codes[j : j + n] * factor
-    # Shingles do not run over the end of their line.
-    ends = np.cumsum(sizes)
-    inside = np.ones(len(codes), bool)
-    for j in range(1, SHINGLE):
-        inside[ends - j] = False
-    found = mixed(found[inside[:n]])
-    counts = sizes - SHINGLE + 1
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    of = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((found, of))
-    new = np.concatenate(([True], (np.diff(found[order]) != 0) | (np.diff(of[order]) != 0)))
-    keys = np.empty((BANDS, len(lines)), np.uint64)
-    for band in range(BANDS):
-        keys[band] = band
-        for j in range(band * ROWS, (band + 1) * ROWS):
-            keys[band] = mixed(keys[band] * FACTORS[0] + np.minimum.reduceat((found ^ SALT[j]) * ODD[j], first))
-    return np.bincount(of[order][new], minlength=len(lines)), keys.view(np.int64)
+def starts(code: Column) -> Column:
+    """Where the shingles of a line begin, in bytes of its code points; a shorter line is its own shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(code) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4))
 
 
-def signed(lines: DataFrame) -> DataFrame:
-    """Lines (line, ...) with `size`, the number of their different shingles, and the key of each band."""
+def shingle(code: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(code, start, F.lit(4 * SHINGLE)))
 
-    def start():
-        def work(texts):
-            if not texts:
-                return [[], []]
-            sizes, keys = signatures(texts)
-            ends = np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32)
-            return [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(keys.T).ravel()))]
 
-        return work
+def hashes(code: Column) -> Column:
+    """The different shingles of a line, given as a column of UTF-32, as hashes."""
+    return F.array_distinct(F.transform(starts(code), lambda p: shingle(code, p)))
 
-    return extend(lines, ["line"], start, "size int, keys array<bigint>")
 
+def minima(lines: DataFrame, count: int) -> tuple[DataFrame, list[str]]:
+    """All columns of lines (line, ...) but the line, with `count` minima over its shingles, and these columns' names.
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(a, b) for each line b of a bucket with other lines, and the bucket's least line a.
-
-    Minima are combined inside tasks, and the join's one row per bucket lets a hot bucket be split.
+    Each permutation orders one of ROWS hashes by its distance from a point of its own, so that minima of one band are
+    of different hashes. Grouping by what names a line needs no shuffle behind one by a part of these columns.
     """
-    keys = lines.select("h", F.explode("keys").alias("key"))
-    least = staged(keys.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-    return keys.join(least, "key").select("key", "a", F.col("h").alias("b"))
+    prefix = unused(lines)
+    names = [f"{prefix}m{j}" for j in range(count)]
+    keys = [c for c in lines.columns if c not in ("line", "size")]
+    sizes = [F.max("size").alias("size")] if "size" in lines.columns else []
+    coded = lines.withColumn(f"{prefix}code", F.encode("line", "UTF-32")).withColumn(f"{prefix}check", F.xxhash64("line", F.lit(1)))
+    rows = coded.withColumn(f"{prefix}start", F.explode(starts(F.col(f"{prefix}code"))))
+    rows = rows.withColumn(f"{prefix}0", shingle(F.col(f"{prefix}code"), F.col(f"{prefix}start")))
+    rows = rows.withColumns({f"{prefix}{r}": F.xxhash64(f"{prefix}0", F.lit(r)) for r in range(1, ROWS)})
+    point = lambda j: xxhash.xxh64_intdigest(b"%d" % j, 1) - 2**63
+    every = [F.min(F.col(f"{prefix}{j % ROWS}").bitwiseXOR(F.lit(point(j)))).alias(f"{prefix}m{j}") for j in range(count)]
+    return rows.groupBy(*keys, f"{prefix}check").agg(*sizes, *every).drop(f"{prefix}check"), names
+
+
+def packed(names: list[str]) -> list[Column]:
+    """The lowest BITS bits of minima, many in a long."""
+    field = lambda j, name: F.shiftleft(F.col(name).bitwiseAND(F.lit((1 << BITS) - 1)), BITS * j)
+    groups = [names[i : i + 64 // BITS] for i in range(0, len(names), 64 // BITS)]
+    return [reduce(Column.bitwiseOR, [field(j, name) for j, name in enumerate(group)]) for group in groups]
+
+
+def unlike(x: list[Column], y: list[Column]) -> Column:
+    """How many of their packed minima differ."""
+    lowest = F.lit(sum(1 << j for j in range(0, 64, BITS)))
+    bits = [[F.shiftrightunsigned(a.bitwiseXOR(b), by) if by else a.bitwiseXOR(b) for by in range(BITS)] for a, b in zip(x, y, strict=True)]
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, every).bitwiseAND(lowest)) for every in bits])
 
 
-def near(x: Column, y: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be so similar."""
-    return F.least(x, y) * 1000 >= F.greatest(x, y) * round(1000 * similarity)
+def allowed(similarity: float, count: int) -> int:
+    """How many of so many packed minima differ at this similarity; unlike minima have equal bits by chance."""
+    return round((1 - similarity) * (1 - 2**-BITS) * count)
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """Lines (h, line, ...) without their text, with the `keys` of their bands, a `sketch` of their minima, and `size`, the
+    number of their different shingles, which is worked out only where it is read. Equal rows become one."""
+    sized = lines.withColumn("code", F.encode("line", "UTF-32")).withColumn("size", F.size(hashes(F.col("code")))).drop("code")
+    found, names = minima(sized, BANDS * ROWS)
+    bands = [F.xxhash64(F.lit(b), *names[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
+    return found.withColumns({"keys": F.array(*bands), "sketch": F.array(*packed(names))}).drop(*names)
+
+
+def buckets(lines: DataFrame) -> DataFrame:
+    """(key, h) of lines in buckets with other lines. The join's one row per bucket lets a hot bucket be split."""
+    keys = lines.select("h", F.explode("keys").alias("key"))
+    shared = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    met = staged(keys.join(shared, "key"), "buckets")
+    discard(shared)
+    return met
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines (h, line, size) whose exact Jaccard similarity reaches the threshold."""
-    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("size").alias("m"))
-    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("size").alias("n"))
-    joint = pairs.join(a, "a").join(b, "b").where(near(F.col("m"), F.col("n"), similarity))
-    both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
-    joint = joint.withColumn("both", both).where(1000 * F.col("both") >= round(1000 * similarity) * (F.col("m") + F.col("n") - F.col("both")))
-    return joint.select("a", "b")
-
-
-def links(met: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of similar lines of buckets (key, a, b); `lines` has (h, line, size) of all of them."""
-    star = met.where("a <> b").select("a", "b").distinct()
-    found = staged(verified(star, lines, similarity), "links")
-    named = components(found, "lines")
-    others = met.where("a <> b").join(named.withColumnRenamed("node", "b"), "b", "left")
-    parts = staged(others.select("key", F.col("b").alias("h"), F.coalesce("component", "b").alias("c")), "placed")
-    split = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = parts.join(split, "key")
-    some = lines.join(rest.select("h").distinct(), "h", "left_semi")
-    some = with_bands(some.select("h", "line")).select("h", "size", F.array_distinct(F.flatten("bands")).alias("sketch"))
-    rest = staged(rest.join(some, "h"), "rest")
+    """The pairs (a, b) of lines (h, line, sketch) whose exact Jaccard similarity reaches the threshold."""
+    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("sketch").alias("s"))
+    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("sketch").alias("t"))
+    joint = pairs.join(a, "a").join(b, "b")
+    # The sketches tell the similarity but for chance; what may reach it is compared itself.
+    apart = unlike(*[[F.get(c, F.lit(i)) for i in range(FEW)] for c in "st"])
+    joint = joint.where(apart <= allowed(similarity - SLACK_FEW, BANDS * ROWS)).select("a", "b", "x", "y")
+    # The shingles of a pair are counted where its texts are; functions of arrays would take some twenty times as long.
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))
+    rows = joint.repartition("a", "b").select("a", "b", F.inline(sides))
+    rows = rows.select("a", "b", "side", F.encode("line", "UTF-32").alias("code"))
+    rows = rows.select("a", "b", "side", "code", F.explode(starts(F.col("code"))).alias("start"))
+    rows = rows.select("a", "b", "side", shingle(F.col("code"), F.col("start")).alias("shingle"))
+    every = rows.groupBy("a", "b", "shingle").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    counts = every.groupBy("a", "b").agg(F.count_if(F.col("low") < F.col("high")).alias("both"), F.count("*").alias("all"))
+    return counts.where(1000 * F.col("both") >= round(1000 * similarity) * F.col("all")).select("a", "b")
+
+
+def placed(met: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, h, c) of the buckets (key, h) that hold lines of several components c."""
+    every = met.join(named.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    split = every.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    return every.join(split, "key")
+
+
+def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the similar lines of buckets (key, h); `texts` has (h, line, sketch) of all of them."""
+    rest = met.withColumn("c", F.col("h"))
+    named = None
+    for turn in range(ROUNDS):
+        some = rest.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("h", F.lit(turn)), "h")).alias("least"))
+        centre = some.groupBy("key").agg(F.max(F.struct("n", "least", "c")).alias("centre"))
+        centre = centre.select("key", F.col("centre.least.h").alias("a"), F.col("centre.c").alias("own"))
+        pairs = rest.join(centre, "key").where("c <> own").select("a", F.col("h").alias("b")).distinct()
+        more = staged(verified(pairs, texts, similarity), "links")
+        if named is not None:
+            # Lines stay linked to the one that names their component.
+            more = staged(more.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
+        named = staged(components(more, "lines"), "named")
+        rest = staged(placed(met, named), "placed")
+    held = texts.join(rest.select("h").distinct(), "h", "left_semi").select("h", "sketch", F.encode("line", "UTF-32").alias("code"))
+    few = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(FEW)]
+    rows = held.select("h", "code", F.explode(starts(F.col("code"))).alias("start"))
+    rows = rows.select("h", F.hash(F.substring("code", F.col("start"), F.lit(4 * SHINGLE))).alias("hash"))
+    sets = rows.groupBy("h").agg(F.collect_set("hash").alias("set"))
+    rest = staged(rest.join(held.select("h", *few).join(sets, "h"), "h").withColumn("size", F.size("set")), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    # The sketches, of BANDS * ROWS hashes, tell the similarity but for chance; what may reach it is compared itself.
-    both, all_of = F.size(F.array_intersect("x.sketch", "y.sketch")), F.size("x.sketch") + F.size("y.sketch")
-    shared = both >= (similarity - SLACK) * (all_of - both)
-    fits = near(F.col("x.size"), F.col("y.size"), similarity) & shared
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
-    pairs = x.join(y, apart & fits).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    more = staged(verified(pairs, lines, similarity), "links")
-    for df in (parts, rest):
-        discard(df)
-    return found.unionByName(more)
+    other = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
+    m, n = F.col("x.size"), F.col("y.size")
+    least = round(1000 * (similarity - SLACK))
+    apart = unlike(*[[F.col(f"{side}.s{i}") for i in range(FEW)] for side in "xy"]) <= allowed(similarity - SLACK_FEW, BANDS * ROWS)
+    both = F.size(F.array_intersect("x.set", "y.set"))
+    fits = (F.least(m, n) * 1000 >= F.greatest(m, n) * least) & apart & (both * (1000 + least) >= (m + n) * least)
+    pairs = x.join(y, other & fits).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
+    last = verified(pairs, texts, similarity).unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(last, "lines")
 
 
 def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
     """(id, k, o, gone): the positions of the lines to remove from documents (id, k, o, text)."""
     lines = lines_of(docs)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "o", "pos")
-    distinct = lines.groupBy("h", "line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    distinct = staged(signed(distinct), "distinct")
-    met = staged(buckets(distinct), "buckets")
-    texts = distinct.join(met.select(F.col("b").alias("h")).distinct(), "h", "left_semi").select("h", "line", "size")
+    whole = lines.groupBy("h", F.xxhash64("line", F.lit(2)).alias("again")).agg(
+        F.first("line").alias("line"), F.count("*").alias("n"), F.min(place).alias("first")
+    )
+    whole = whole.select("h", "again", "line", "n", "first.*")
+    # One shuffle of the texts: signatures are grouped where their lines already are.
+    distinct = staged(signed(whole).select("h", "n", F.struct("no_id", "id", "k", "o", "pos").alias("first"), "keys", "sketch"), "distinct")
+    met = buckets(distinct)
+    held = staged(distinct.join(met.select("h").distinct(), "h", "left_semi").select("h", "sketch"), "held")
+    texts = lines.select("h", "line").join(held, "h").groupBy("h").agg(F.first("line").alias("line"), F.first("sketch").alias("sketch"))
     texts = staged(texts, "lines")
-    linked = components(links(met, texts, similarity), "lines").withColumnRenamed("node", "h")
+    linked = links(met, texts, similarity).withColumnRenamed("node", "h")
     # The first line of each component; a line that only repeats is a component of its own.
     own = distinct.select("h", "n", "first").join(linked, "h", "left").where("n > 1 or component is not null")
     own = staged(own.select("h", "first", F.coalesce("component", "h").alias("component")), "own")
@@ -175,7 +194,7 @@ def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
     kept = staged(own.join(firsts, "component").select("h", "least"), "firsts")
     rest = lines.join(kept, "h").where(place != F.col("least"))
     gone = rest.groupBy("id", "k", "o").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    for df in (distinct, met, texts, own):
+    for df in (distinct, met, held, texts, own):
         discard(df)
     return gone
 
