@@ -155,3 +155,15 @@ def test_most_frequent_values(spark):
     want = [tuple(r) for r in flat.groupBy("v").count().orderBy(F.desc("count"), "v").limit(5).collect()]
     assert [tuple(r) for r in frequent.most_frequent(flat, "v", 5, tracked=100).collect()] == want
     assert frequent.most_frequent(flat.where("v is null"), "v", 5).count() == 0
+
+
+def test_bitmaps_are_made_of_different_bits(spark, table, capsys, monkeypatch):
+    """The rows that a bitmap's aggregate sorts are bounded by the bits, not by the entries."""
+    folds = []
+    monkeypatch.setattr(zones, "_update", lambda spark, path, name, schema, fold: folds.append(fold))
+    zones.update_trigrams(spark, table)
+    rows = plain(spark, table).withColumn("file", F.col("source"))
+    folds[0](rows).explain()
+    plan = capsys.readouterr().out.splitlines()
+    bitmap = max(i for i, line in enumerate(plan) if "bitmap_construct_agg" in line)
+    assert any("HashAggregate(keys=[file" in line and "functions=[]" in line for line in plan[bitmap + 1 :])

@@ -184,6 +184,8 @@ def update_trigrams(spark: SparkSession, path: str) -> None:
         text = F.concat_ws(SEARCH_SEPARATOR, "search_text", F.lower("level"))
         pieces = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
         bits = rows.select("file", F.explode_outer(pieces).alias("piece")).select("file", _bit(F.col("piece")).alias("bit"))
+        # Bitmaps are made of sorted rows: a file's different bits, of which there are BITS at most, not all its pieces.
+        bits = bits.distinct()
         return bits.groupBy("file").agg(F.bitmap_construct_agg("bit").alias("signature"))
 
     _update(spark, path.rstrip("/"), "_trigrams", TRIGRAMS, fold)
