@@ -1,9 +1,12 @@
 """Line dedup against brute force: recall of its buckets, and whole families of templated lines."""
 
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from tidelog.llm import lines
-from tidelog.llm.common import prepare
+from tidelog.llm.common import CLEANUP, prepare, staged
 
 
 def grams(line):
@@ -91,3 +94,22 @@ def test_signatures_and_checks_are_built_in(spark, capsys):
         assert not any(word in capsys.readouterr().out for word in ("Arrow", "Python", "Pandas"))
     # 12 shingles and 13, of which 12 are shared.
     assert lines.verified(pairs, texts, 0.92).count() == 1 and lines.verified(pairs, texts, 0.93).count() == 0
+
+
+def test_staged_tables_leave_no_shuffle_files(spark, tmp_path):
+    prepare(spark)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {n for n in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before = held()
+    made = staged(spark.range(5000).repartition(3, "id"), "cleaned")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and made.count() == 5000
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_shingles_are_of_code_points(spark):
+    rows = ["", "ab", "abcde", "a𝒳b𝒴cd", "𝒳𝒴𝒳𝒴𝒳𝒴", "a\r\nb c"]
+    found = spark.createDataFrame([(t,) for t in rows], "line string").select("line", lines.shingles(F.col("line")).alias("all")).collect()
+    assert all(r.all == ([r.line[i : i + 5] for i in range(len(r.line) - 4)] or [r.line]) for r in found)

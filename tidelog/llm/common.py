@@ -19,6 +19,8 @@ from tidelog.session import shared_dir
 # A Python task holds one batch at a time: bounded rows, and bounded bytes for long texts.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+#: Whether a statement's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -43,10 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a table in the shared folder: lineage ends here and lost executors cost nothing. The shuffle files
+    of the write, which nothing reads again, go with its end instead of when the driver collects its garbage."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -57,6 +57,14 @@ def hashes(code: Column) -> Column:
     return F.array_distinct(F.transform(starts(code), lambda p: shingle(code, p)))
 
 
+def shingles(line: Column) -> Column:
+    """The shingles of a line, repeats included, as texts. Time grows with the line, unlike that of functions of arrays by
+    position, which copy the code points for each."""
+    # No shingle begins within a pair of surrogates.
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every)
+
+
 def minima(lines: DataFrame, count: int) -> tuple[DataFrame, list[str]]:
     """All columns of lines (line, ...) but the line, with `count` minima over its shingles, and these columns' names.
 
@@ -95,6 +103,12 @@ def allowed(similarity: float, count: int) -> int:
     return round((1 - similarity) * (1 - 2**-BITS) * count)
 
 
+def close(x: str, y: str, similarity: float) -> Column:
+    """Whether the lines of two sketches may be similar: sketches tell the similarity but for chance."""
+    sides = [[F.get(c, F.lit(i)) for i in range(FEW)] for c in (x, y)]
+    return unlike(*sides) <= allowed(similarity - SLACK_FEW, BANDS * ROWS)
+
+
 def signed(lines: DataFrame) -> DataFrame:
     """Lines (h, line, ...) without their text, with the `keys` of their bands, a `sketch` of their minima, and `size`, the
     number of their different shingles, which is worked out only where it is read. Equal rows become one."""
@@ -114,53 +128,51 @@ def buckets(lines: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines (h, line, sketch) whose exact Jaccard similarity reaches the threshold."""
-    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("sketch").alias("s"))
-    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("sketch").alias("t"))
+    """The pairs (a, b) of lines (h, line) whose exact Jaccard similarity reaches the threshold."""
+    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
+    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     joint = pairs.join(a, "a").join(b, "b")
-    # The sketches tell the similarity but for chance; what may reach it is compared itself.
-    apart = unlike(*[[F.get(c, F.lit(i)) for i in range(FEW)] for c in "st"])
-    joint = joint.where(apart <= allowed(similarity - SLACK_FEW, BANDS * ROWS)).select("a", "b", "x", "y")
-    # The shingles of a pair are counted where its texts are; functions of arrays would take some twenty times as long.
-    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))
-    rows = joint.repartition("a", "b").select("a", "b", F.inline(sides))
-    rows = rows.select("a", "b", "side", F.encode("line", "UTF-32").alias("code"))
-    rows = rows.select("a", "b", "side", "code", F.explode(starts(F.col("code"))).alias("start"))
-    rows = rows.select("a", "b", "side", shingle(F.col("code"), F.col("start")).alias("shingle"))
-    every = rows.groupBy("a", "b", "shingle").agg(F.min("side").alias("low"), F.max("side").alias("high"))
-    counts = every.groupBy("a", "b").agg(F.count_if(F.col("low") < F.col("high")).alias("both"), F.count("*").alias("all"))
-    return counts.where(1000 * F.col("both") >= round(1000 * similarity) * F.col("all")).select("a", "b")
+    # A generator's rows are made once; a condition on plain columns would work the sets out again for each use.
+    sets = F.struct(*[F.array_distinct(F.transform(shingles(F.col(c)), lambda s: F.xxhash64(s))).alias(c) for c in "xy"])
+    counts = joint.select("a", "b", F.inline(F.array(sets)))
+    both = F.size(F.array_intersect("x", "y"))
+    return counts.where((1000 + round(1000 * similarity)) * both >= round(1000 * similarity) * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def placed(met: DataFrame, named: DataFrame) -> DataFrame:
-    """(key, h, c) of the buckets (key, h) that hold lines of several components c."""
-    every = met.join(named.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    """(key, h, sketch, c) of the buckets (key, h, sketch) that hold lines of several components c."""
+    every = met.join(named.withColumnRenamed("node", "h"), "h", "left").select(*met.columns, F.coalesce("component", "h").alias("c"))
     split = every.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     return every.join(split, "key")
 
 
 def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of the similar lines of buckets (key, h); `texts` has (h, line, sketch) of all of them."""
-    rest = met.withColumn("c", F.col("h"))
-    named = None
+    """(node, component) of the similar lines of buckets (key, h, sketch); `texts` has (h, line) of all of them."""
+    # Lines alike meet in several buckets. One pair a line first, with the least of its buckets' lines, links most of them.
+    least = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", F.lit(ROUNDS)), "h", "sketch")).alias("least"))
+    nearest = met.join(least, "key").groupBy("h", "sketch").agg(F.min("least").alias("least"))
+    pairs = nearest.where((F.col("least.h") != F.col("h")) & close("least.sketch", "sketch", similarity))
+    pairs = pairs.select(F.col("least.h").alias("a"), F.col("h").alias("b"))
+    named = staged(components(verified(pairs, texts, similarity), "lines"), "named")
+    rest = staged(placed(met, named), "placed")
     for turn in range(ROUNDS):
-        some = rest.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("h", F.lit(turn)), "h")).alias("least"))
+        line = F.struct(F.xxhash64("h", F.lit(turn)), "h", "sketch")
+        some = rest.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(line).alias("least"))
         centre = some.groupBy("key").agg(F.max(F.struct("n", "least", "c")).alias("centre"))
-        centre = centre.select("key", F.col("centre.least.h").alias("a"), F.col("centre.c").alias("own"))
-        pairs = rest.join(centre, "key").where("c <> own").select("a", F.col("h").alias("b")).distinct()
-        more = staged(verified(pairs, texts, similarity), "links")
-        if named is not None:
-            # Lines stay linked to the one that names their component.
-            more = staged(more.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
+        other = (F.col("centre.c") != F.col("c")) & close("centre.least.sketch", "sketch", similarity)
+        pairs = rest.join(centre, "key").where(other).select(F.col("centre.least.h").alias("a"), F.col("h").alias("b")).distinct()
+        # Lines stay linked to the one that names their component.
+        more = verified(pairs, texts, similarity).unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        before = named, rest
         named = staged(components(more, "lines"), "named")
         rest = staged(placed(met, named), "placed")
-    held = texts.join(rest.select("h").distinct(), "h", "left_semi").select("h", "sketch", F.encode("line", "UTF-32").alias("code"))
+        for df in before:
+            discard(df)
     few = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(FEW)]
-    rows = held.select("h", "code", F.explode(starts(F.col("code"))).alias("start"))
-    rows = rows.select("h", F.hash(F.substring("code", F.col("start"), F.lit(4 * SHINGLE))).alias("hash"))
-    sets = rows.groupBy("h").agg(F.collect_set("hash").alias("set"))
-    rest = staged(rest.join(held.select("h", *few).join(sets, "h"), "h").withColumn("size", F.size("set")), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    held = texts.join(rest.select("h").distinct(), "h", "left_semi")
+    sets = held.select("h", F.inline(F.array(F.struct(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s))).alias("set")))))
+    whole = staged(rest.select("key", "h", "c", *few).join(sets, "h").withColumn("size", F.size("set")), "sets")
+    x, y = whole.alias("x"), whole.alias("y")
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
     m, n = F.col("x.size"), F.col("y.size")
     least = round(1000 * (similarity - SLACK))
@@ -169,7 +181,10 @@ def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     fits = (F.least(m, n) * 1000 >= F.greatest(m, n) * least) & apart & (both * (1000 + least) >= (m + n) * least)
     pairs = x.join(y, other & fits).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
     last = verified(pairs, texts, similarity).unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(last, "lines")
+    found = components(last, "lines")
+    for df in (named, rest, whole):
+        discard(df)
+    return found
 
 
 def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
@@ -183,10 +198,10 @@ def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
     # One shuffle of the texts: signatures are grouped where their lines already are.
     distinct = staged(signed(whole).select("h", "n", F.struct("no_id", "id", "k", "o", "pos").alias("first"), "keys", "sketch"), "distinct")
     met = buckets(distinct)
-    held = staged(distinct.join(met.select("h").distinct(), "h", "left_semi").select("h", "sketch"), "held")
-    texts = lines.select("h", "line").join(held, "h").groupBy("h").agg(F.first("line").alias("line"), F.first("sketch").alias("sketch"))
-    texts = staged(texts, "lines")
-    linked = links(met, texts, similarity).withColumnRenamed("node", "h")
+    sketched = staged(met.join(distinct.select("h", "sketch"), "h"), "sketched")
+    texts = lines.select("h", "line").join(met.select("h").distinct(), "h", "left_semi")
+    texts = staged(texts.groupBy("h").agg(F.first("line").alias("line")), "lines")
+    linked = links(sketched, texts, similarity).withColumnRenamed("node", "h")
     # The first line of each component; a line that only repeats is a component of its own.
     own = distinct.select("h", "n", "first").join(linked, "h", "left").where("n > 1 or component is not null")
     own = staged(own.select("h", "first", F.coalesce("component", "h").alias("component")), "own")
@@ -194,7 +209,7 @@ def repeated_lines(docs: DataFrame, similarity: float) -> DataFrame:
     kept = staged(own.join(firsts, "component").select("h", "least"), "firsts")
     rest = lines.join(kept, "h").where(place != F.col("least"))
     gone = rest.groupBy("id", "k", "o").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    for df in (distinct, met, held, texts, own):
+    for df in (distinct, met, sketched, texts, own):
         discard(df)
     return gone
 
