@@ -4,8 +4,9 @@ A line's signature is over all its shingles of SHINGLE characters: BANDS * ROWS
 exploded shingles, which are cut from fixed-width code points by position. Lines with one equal band meet in a bucket, 96% of
 those with a similarity of 0.8 and 99.5% of those with 0.87.
 
-Lines of a bucket are linked in rounds. Each round compares every line with one line of its bucket that is in another
-component, the centre, a different one every time from the bucket's largest component. So copies and near copies of one
+Each line is first compared with the least line of all its buckets, one pair a line. Then lines are linked in rounds, each
+of which compares every line with one line of its bucket that is in another component, the centre, a different one every
+time from the bucket's largest component. Pairs that a few bits of their minima tell apart go before texts are joined. So copies and near copies of one
 line, in any number, make a row a line. Lines that are in different components of one bucket after ROUNDS rounds are all
 compared with one another inside a join, by a few bits of their minima and then by their sets of 32-bit shingle hashes: only
 pairs as similar as asked for leave it. All pairs, of rounds and of this join, are verified by their exact Jaccard
@@ -171,7 +172,8 @@ def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     few = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(FEW)]
     held = texts.join(rest.select("h").distinct(), "h", "left_semi")
     sets = held.select("h", F.inline(F.array(F.struct(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.hash(s))).alias("set")))))
-    whole = staged(rest.select("key", "h", "c", *few).join(sets, "h").withColumn("size", F.size("set")), "sets")
+    # Both sides of the join read one shuffle of the sets, which are written nowhere else.
+    whole = rest.select("key", "h", "c", *few).join(sets, "h").withColumn("size", F.size("set"))
     x, y = whole.alias("x"), whole.alias("y")
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
     m, n = F.col("x.size"), F.col("y.size")
@@ -182,7 +184,7 @@ def links(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     pairs = x.join(y, other & fits).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
     last = verified(pairs, texts, similarity).unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(last, "lines")
-    for df in (named, rest, whole):
+    for df in (named, rest):
         discard(df)
     return found
 
